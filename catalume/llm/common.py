@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,3 +98,49 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
             out = (out + hashes[i : n - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
         return scramble(out + np.uint64(width))
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for an explicit repartitioning: the session's shuffle setting, which is how a user sizes a cluster."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def quantile_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
+    """At most ``parts`` - 1 rising integers that cut ``column`` into ranges of about equal row counts (all rows counted)."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * parts)).alias("q")).first()["q"] or []
+    return sorted(set(found))
+
+
+def range_bucket(column, bounds: list[int]):
+    """0 for values below bounds[0] (and null), i for values from bounds[i - 1] on. Two short scans instead of a long one."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.lit(bounds[::step])
+    at = F.size(F.filter(coarse, lambda x: x <= column))
+    fine = F.slice(F.lit(bounds), (at - 1) * step + 1, F.lit(step))
+    inner = F.size(F.filter(fine, lambda x: x <= column))
+    return F.when(column.isNull() | (at <= 0), 0).otherwise((at - 1) * step + inner).cast("int")
+
+
+def running_start(df: DataFrame, group: list[str], bucket: str, order: list, size, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``size`` over the rows of the same group that come earlier by (bucket, order).
+
+    No group is ever sorted in one task: rows are ordered within (group, bucket), and the buckets' totals, one row each,
+    carry the sums across. ``bucket`` must rise with ``order`` and be null-free; group keys must be null-free as well.
+    """
+    keys = [*group, bucket]
+    totals = df.groupBy(*keys).agg(F.sum(size).alias("_total"))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_inside", F.sum(size).over(inside) - size).join(bases, keys)
+    return out.withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base")
+
+
+def source_key(column):
+    """A null-free key that keeps null apart from every text."""
+    return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), column))
