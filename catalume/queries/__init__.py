@@ -1,0 +1,7 @@
+"""The registered queries of the library proper."""
+
+from __future__ import annotations
+
+FLAGSHIP = ""
+QUERIES: dict = {}
+SQL: dict = {}
