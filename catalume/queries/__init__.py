@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from catalume.queries import decisions, matching, reads, scalars, windows  # noqa: F401  (they register themselves)
+from catalume.queries.registry import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "fuzzy_match"
