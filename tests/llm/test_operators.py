@@ -110,7 +110,7 @@ def near_copies():
 
 
 def test_join_finds_all_components(spark):
-    docs = near_copies() + texts(spark)[:100]
+    docs = near_copies() + [(10_000 + i, t) for i, t in texts(spark)[:100]]
     want = plain_components(docs)
     got = ngram_join.near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string"), block=16)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
@@ -247,7 +247,7 @@ def test_quality_measures(spark):
 
 
 def test_frequent_lines_go(spark):
-    rows = [(i, f"shared footer line\nown words number {i} " + " ".join(f"v{i}_{j}" for j in range(12)), "h") for i in range(30)]
+    rows = [(i, "shared footer line\n" + " ".join(chr(97 + i % 26) * (2 + i // 26 + j) for j in range(14)), "h") for i in range(30)]
     rows += [(100 + i, "shared footer line\n" + f"only {i}", "h") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id: r.text for r in quality.apply_rules(docs, least_docs=5, share=0.1).collect()}
