@@ -69,7 +69,7 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(value[room]), used
 
 
-def generate_columns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 2000, gap: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+def generate_columns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 800, gap: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often the linear program uses each; a revised simplex whose entering column is priced by knapsack.
 
     Dual prices divided by the best pattern's value are feasible, which bounds the optimum from below; within ``gap`` of the
@@ -78,19 +78,20 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: i
     n = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    amount = inverse @ demand
+    amount = (inverse * demand).sum(axis=1)
     low, best, since = 0.0, np.inf, 0
     for step in range(rounds):
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            amount = inverse @ demand
+            error = np.einsum("ij,jk->ik", basis, inverse)  # a Newton step takes rounding errors out
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, error)
+            amount = (inverse * demand).sum(axis=1)
         value, column = best_pattern(inverse.sum(axis=0), sizes, room)  # each pattern costs one sequence
         total = float(amount.sum())
         low = max(low, float(inverse.sum(axis=0) @ demand) / max(value, 1.0))
         best, since = (total, step) if total < best - 1e-6 else (best, since)
-        if value <= 1 + 1e-7 or total - low <= max(0.5, gap * total) or step - since > 150:
+        if value <= 1 + 1e-7 or total - low <= max(0.5, gap * total) or step - since > 60:
             break
-        change = inverse @ column
+        change = (inverse * column).sum(axis=1)
         rows = np.flatnonzero(change > 1e-9)
         ratio = np.maximum(amount[rows], 0) / change[rows]
         out = int(rows[np.argmin(ratio)])
