@@ -8,6 +8,8 @@ the work, without changing the result:
   this links almost all, in as many comparisons as there are classes.
 * Lists whose entries are all in one component are skipped whole. The others are cut into blocks by set size and by the
   shingle's position; pairs of blocks whose sizes and positions cannot reach the threshold are skipped, then pairs of entries.
+* Each set keeps the parities of its shingles in as many cells as it has shingles. Two sets differ in at least as many
+  shingles as their parities differ in cells, so most pairs are refused by exact bounds before any text is sent.
 * In a comparison group the overlaps with the hub are computed once; those of other pairs are derived from them by the few
   shingles in which a set differs from the hub. Pairs that are already connected are skipped.
 
@@ -40,32 +42,56 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(windows(_words.array((text or b"").lower().split()), width))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Parities of the shingle counts in a power of two of cells, at least 64 and at least one for each shingle, as integers."""
+    cells = 64 << max(0, (len(own) - 1) >> 6).bit_length()
+    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def parity_gap(a, b):
+    """How many cells two parity columns differ in, the longer folded to the shorter; 0 if it is over twice as long."""
+    n = F.least(F.size(a), F.size(b))
+
+    def fold(x):
+        halves = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > n, halves).otherwise(x)
+
+    gap = F.aggregate(F.zip_with(fold(a), fold(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return F.when(F.greatest(F.size(a), F.size(b)) > 2 * n, 0).otherwise(gap)
+
+
+FIELDS = "doc_id long, n long, c1 long, c2 long, odd array<long>, cells int, counts binary"
+
+
 def profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """A row for each document (doc_id, n, c1, c2: size and hash of its set) and rows of shingle counts (cells, counts)."""
+    """A row for each document (doc_id, n, c1, c2, odd: its set's size, hash and parities) and rows of shingle counts (cells, counts)."""
+    names = ["doc_id", "n", "c1", "c2", "odd", "cells", "counts"]
 
     def task(batches):
         cells = np.zeros(1 << bits, np.uint32)
         shift = np.uint64(64 - bits)
         for batch in batches:
-            sizes, marks, held = [], [], []
+            sizes, marks, held, odd = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 own = shingles(text, width)
                 sizes.append(len(own))
                 marks.append(xxhash.xxh3_128_digest(own.tobytes()))
                 held.append(own >> shift)
+                odd.append(parities(own))
             if held:
                 np.add(cells, np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells)), out=cells, casting="unsafe")
             pair = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
             none = pa.nulls(len(sizes))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), none.cast(pa.int32()), none.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c1", "c2", "cells", "counts"])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, none.cast(pa.int32()), none.cast(pa.binary())], names)
         blocks = np.minimum(cells, 65_535).astype("<u2").reshape(CELL_BLOCKS, -1)
         full = [i for i in range(CELL_BLOCKS) if blocks[i].any()]
         none = pa.nulls(len(full), pa.int64())
         packed = pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in full], pa.binary())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int32()), packed], ["doc_id", "n", "c1", "c2", "cells", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(full), pa.list_(pa.int64())), pa.array(full, pa.int32()), packed], names)
 
-    return docs.mapInArrow(task, "doc_id long, n long, c1 long, c2 long, cells int, counts binary")
+    return docs.mapInArrow(task, FIELDS)
 
 
 def frequency_levels(profiled: DataFrame, bits: int) -> np.ndarray:
@@ -174,10 +200,8 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, block: int, widt
     dealt = scratch.save(dealt.select(F.xxhash64("hub", "part").alias("g"), "hub", "x"), "pairs")
     members = dealt.select("g", F.explode(F.array("hub", "x")).alias("id")).distinct()
     members = scratch.save(members, "members")
-    ids = members.select("id").distinct()
-    few = ids.count() <= 200_000
-    wanted = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    texts = members.join(wanted, F.col("id") == F.col("doc_id")).select("g", F.lit(None).cast("long").alias("x"), "id", F.encode("text", "UTF-8").alias("text"))
+    few = members.count() <= 200_000  # beyond, both sides are shuffled
+    texts = docs.join(F.broadcast(members) if few else members, F.col("id") == F.col("doc_id")).select("g", F.lit(None).cast("long").alias("x"), "id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     rows = texts.unionByName(dealt.select("g", "x", F.col("hub").alias("id"), F.lit(None).cast("binary").alias("text")))
 
     def task(batches):
@@ -194,7 +218,7 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, block: int, widt
                         yield close()
                     at, group, found = g, {}, []
                 if x is None:
-                    group[i] = text
+                    group[i] = min(text, group.get(i, text))
                 else:
                     found.append((x, i))
         if found:
@@ -245,8 +269,9 @@ def near_duplicate_components(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiled = scratch.save(profile(docs, width, bits), "profile")
     levels = spark.sparkContext.broadcast(frequency_levels(profiled, bits))
-    rows = profiled.where("cells is null").select("doc_id", "n", "c1", "c2")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    rows = profiled.where("cells is null").select("doc_id", "n", "c1", "c2", "odd")
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
+    classes = classes.where("rep is not null")
     classes = scratch.save(classes, "classes")
 
     lists = prefixes(docs, width, bits, levels, num, den)
@@ -256,9 +281,12 @@ def near_duplicate_components(
     stars = votes.groupBy("cls").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
 
     def by_rep(pairs: DataFrame, left: str, right: str) -> DataFrame:
-        a = classes.select(F.col("c1").alias(left), F.col("rep").alias("x"))
-        b = classes.select(F.col("c1").alias(right), F.col("rep").alias("hub"))
-        return pairs.join(a, left).join(b, right).where("x != hub").select("hub", "x")
+        """hub, x: the pairs' documents, without pairs that size or parities refuse."""
+        a = classes.select(F.col("c1").alias(left), F.col("rep").alias("x"), F.col("n").alias("m"), F.col("odd").alias("even"))
+        b = classes.select(F.col("c1").alias(right), F.col("rep").alias("hub"), "n", "odd")
+        sized = pairs.join(a, left).join(b, right).where((F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num))
+        close = sized.where(parity_gap(F.col("even"), F.col("odd")) * (num + den) <= (F.col("m") + F.col("n")) * (den - num))
+        return close.where("x != hub").select("hub", "x")
 
     how = (block, width, num, den)
     links = verify(docs, by_rep(stars, "cls", "head"), scratch, *how)
@@ -284,7 +312,7 @@ def near_duplicate_components(
     whole = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
     whole = scratch.save(whole, "whole")
     place = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(place, ["c1", "c2"], "left")
+    out = rows.drop("odd").join(place, ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

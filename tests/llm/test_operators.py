@@ -116,6 +116,18 @@ def test_join_finds_all_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_parities_never_exceed_the_difference(spark):
+    rng, rows = np.random.default_rng(4), []
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (60, 70, 55), (64, 65, 60), (128, 140, 120), (900, 1100, 850), (900, 100, 90), (3000, 3000, 0)):
+        all_ = rng.choice(2**62, n + m - both, replace=False).astype(np.uint64)
+        a, b = ngram_join.parities(all_[:n]).tolist(), ngram_join.parities(all_[n - both :]).tolist()
+        rows.append((a, b, n + m - 2 * both))
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>, most int")
+    got = table.select(ngram_join.parity_gap(F.col("a"), F.col("b")).alias("gap"), "most").collect()
+    assert all(0 <= r.gap <= r.most for r in got)
+    assert got[1].gap == 0 and got[7].gap > 1000
+
+
 def test_fingerprints_estimate_likeness(spark):
     docs = sorted(texts(spark))
     got = {r.doc_id: r for r in fingerprints.op2_weighted_fingerprints(spark, DATA).collect()}
