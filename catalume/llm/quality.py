@@ -1,9 +1,9 @@
 """Quality rules: text measures, and lines that too many documents of a host share.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single spaces) and hashed. For each host the distinct
-documents holding a line are counted, exact copies of a text once. A line above the host's limit, which is the larger of
-``least_docs`` and ``share`` of the host's distinct documents, is removed from all documents of the host but the one of
-smallest doc_id that holds it. A document is depleted, and rejected, if fewer than ``least_words`` words or less than
+documents holding a line are counted, exact copies of a text once. A line above the host's limit is removed from all
+documents of the host but the one of smallest doc_id that holds it. The limit is ``least_docs`` distinct documents however
+large the host is; in small hosts it is ``share`` of their distinct documents if that is less, but never below one. A document is depleted, and rejected, if fewer than ``least_words`` words or less than
 ``least_left`` of its words are left. Only hashes and counts are shuffled, and copies are counted before they meet.
 
 Defined results: null and empty texts have no words and fail; a null host is a host of its own; rows with one doc_id are
@@ -97,7 +97,8 @@ def judge(docs: DataFrame, least_docs: int = 20, share: float = 0.1, least_words
     copies = each.groupBy("host", "line", "copy").agg(F.min("doc_id").alias("first"))
     held = copies.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     sizes = rows.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = held.where(F.col("n") > least_docs).join(sizes, "host").where(F.col("n") > share * F.col("host_docs"))
+    limit = F.least(F.lit(float(least_docs)), F.greatest(F.lit(1.0), share * F.col("host_docs")))
+    often = held.where("n > 1").join(sizes, "host").where(F.col("n") > limit)
     often = scratch.save(often.select("host", "line", "first"), "frequent")
     hits = each.join(often, ["host", "line"]).where("first is null or doc_id is null or doc_id != first")
     lost = hits.groupBy("doc_id", "copy", "host").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("frequent"))

@@ -267,6 +267,20 @@ def test_frequent_lines_go(spark):
     assert "footer" in kept[0] and "footer" not in kept[1]
 
 
+def test_frequent_lines_of_large_and_small_hosts(spark):
+    def body(i):
+        return " ".join(f"{x}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for x in "abcdefghijklmn")
+
+    rows = [(i, ("footer of one in a hundred\n" if i % 100 == 0 else "") + body(i), "large") for i in range(3000)]
+    rows += [(5000 + i, ("small footer\n" if i < 8 else "") + body(i), "small") for i in range(40)]
+    rows += [(6000 + i, "a text with its exact copy\n" + body(0), "tiny") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.text for r in quality.apply_rules(docs).collect()}
+    assert kept.keys() == {r[0] for r in rows}
+    assert [i for i, t in sorted(kept.items()) if "footer" in t] == [0, 5000]
+    assert all("exact copy" in kept[i] for i in (6000, 6001))
+
+
 def test_token_files_round_trip(spark, folder):
     docs = sorted(texts(spark, f"{folder}/odd"), key=lambda x: (x[0], x[1] or ""))
     direct = encoder(vocabulary_path()).tokenizer
