@@ -13,11 +13,15 @@ the work, without changing the result:
 * In a comparison group the overlaps with the hub are computed once; those of other pairs are derived from them by the few
   shingles in which a set differs from the hub. Pairs that are already connected are skipped.
 
+That yields the components. All links lie inside them, so a second pass compares all pairs of classes of a component, block
+by block: shingles that all sets of two blocks share are counted once, and the other overlaps come from one matrix product.
+Two classes that are alone in a component are linked without being compared again.
+
 Groups to compare are cut into blocks of ``block`` texts, so no task holds a group. Shingles and classes are 64- and 128-bit
 hashes. The frequencies are counts in ``2 ** bits`` cells over all documents; they only order the shingles.
 
 Defined results: null, empty and blank texts have no shingles and no links; fewer words than a shingle are one shingle; rows
-with one doc_id are one document per row; an empty table gives an empty result; other columns are ignored.
+with one doc_id are one document per row; exact copies are linked with each other and with all that one of them is linked with; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -261,16 +265,101 @@ def block_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
     return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
 
-def near_duplicate_components(
-    docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bits: int = 22, block: int = 256
-) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); links have Jaccard similarity >= num / den."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """|x & y| for each x of ``a`` and y of ``b`` (sets as sorted arrays), without what only one side holds."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    if not a or not b:
+        return out
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(both):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        found = both[at] == flat
+        return owner[found], at[found]
+
+    sides = [(len(x), *places(x)) for x in (a, b)]
+    core = np.all([np.bincount(at, minlength=len(both)) == n for n, _, at in sides], axis=0)
+    out += int(core.sum())
+    place = np.cumsum(~core) - 1
+    sides = [(n, owner[~core[at]], place[at[~core[at]]]) for n, owner, at in sides]
+    for start in range(0, len(both) - int(core.sum()), slab):
+        held = []
+        for n, owner, at in sides:
+            inside = (at >= start) & (at < start + slab)
+            bits = np.zeros((n, slab), np.float32)
+            bits[owner[inside], at[inside] - start] = 1
+            held.append(bits)
+        out += np.rint(held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def component_links(docs: DataFrame, members: DataFrame, scratch: Scratch, counted: bool, block: int, width: int, num: int, den: int) -> DataFrame:
+    """All links between the classes of each component, as a, b (class hashes); if ``counted``, as cls, linked (how many documents
+    its partners in a block stand for, to be summed by cls). members: cls, rep, copies, root of the classes with a component.
+    """
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.sum("copies").alias("w"))
+    few, many = sizes.where("m = 2"), members.join(sizes.where("m > 2").select("root", "m"), "root")
+    own = F.expr(f"pmod(xxhash64(cls), (m + {block - 1}) div {block})")
+    dealt = many.withColumn("p", own).withColumn("q", F.explode(F.expr(f"sequence(0, (m + {block - 1}) div {block} - 1)")))
+    side = F.when(F.col("p") == F.col("q"), 2).otherwise((F.col("p") > F.col("q")).cast("int"))
+    dealt = dealt.select(F.xxhash64("root", F.least("p", "q"), F.greatest("p", "q")).alias("g"), side.alias("side"), "cls", "rep", "copies")
+    dealt = scratch.save(dealt, "dealt")
+    near = F.broadcast(dealt) if dealt.count() <= 200_000 else dealt  # beyond, both sides are shuffled
+    rows = docs.join(near, F.col("doc_id") == F.col("rep")).select("g", "side", "cls", "copies", "text")
+
+    def task(batches):
+        at, group = None, {}
+
+        def close():
+            same = any(side == 2 for side, *_ in group.values())
+            left = [(c, w, x) for c, (side, w, x) in group.items() if side != 1]
+            right = left if same else [(c, w, x) for c, (side, w, x) in group.items() if side == 1]
+            (a, v, xs), (b, w, ys) = [[[r[i] for r in rows] for i in range(3)] for rows in (left, right)]
+            a, b, v, w = (np.array(x, np.int64) for x in (a, b, v, w))
+            n, m = (np.array([len(x) for x in sets], np.int64) for sets in (xs, ys))
+            both = overlaps(xs, ys)
+            linked = den * both >= num * (n[:, None] + m[None, :] - both)
+            if same:
+                np.fill_diagonal(linked, False)
+            if counted:
+                counts = [(a, linked @ w)] if same else [(a, linked @ w), (b, linked.T @ v)]
+                found = [np.concatenate(x).astype(np.int64) for x in zip(*counts)]
+            else:
+                i, j = np.nonzero(np.triu(linked) if same else linked)
+                found = [a[i], b[j]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["cls", "linked"] if counted else ["a", "b"])
+
+        for batch in batches:
+            for g, side, cls, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != at:
+                    if group:
+                        yield close()
+                    at, group = g, {}
+                if cls not in group:
+                    own = shingles((text or "").encode(), width)
+                    if np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")[0] == cls:  # not another row of this doc_id
+                        group[cls] = side, copies, own
+        if group:
+            yield close()
+
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    ordered = rows.repartition(parts, "g").sortWithinPartitions("g")
+    if not counted:
+        return few.select("a", "b").unionByName(ordered.mapInArrow(task, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pair = members.join(few.select("root", "w"), "root").select("cls", (F.col("w") - F.col("copies")).alias("linked"))
+    return pair.unionByName(ordered.mapInArrow(task, "cls long, linked long"))
+
+
+def grouped(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, bits: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, n, c1, c2) and their classes (c1, c2, rep, copies, and root, null if it has no links)."""
+    spark = docs.sparkSession
     profiled = scratch.save(profile(docs, width, bits), "profile")
     levels = spark.sparkContext.broadcast(frequency_levels(profiled, bits))
     rows = profiled.where("cells is null").select("doc_id", "n", "c1", "c2", "odd")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.count("*").alias("copies"))
     classes = classes.where("rep is not null")
     classes = scratch.save(classes, "classes")
 
@@ -311,9 +400,51 @@ def near_duplicate_components(
     more = verify(docs, rest, scratch, *how)
     whole = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
     whole = scratch.save(whole, "whole")
-    place = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("root"))
-    out = rows.drop("odd").join(place, ["c1", "c2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    place = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "rep", "copies", "root")
+    return rows.drop("odd"), place
+
+
+def placed(rows: DataFrame, place: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and the columns ``more`` of the classes ``place`` for each document."""
+    out = rows.join(place.withColumn("root", F.coalesce("root", "rep")), ["c1", "c2"], "left")
+    root = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), *more)
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def near_duplicate_components(
+    docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bits: int = 22, block: int = 256
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); links have Jaccard similarity >= num / den."""
+    return placed(*grouped(plain(docs), Scratch(docs.sparkSession, "ngram-join"), width, num, den, bits, block))
+
+
+def near_duplicate_links(
+    docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bits: int = 22, block: int = 256
+) -> tuple[DataFrame, DataFrame]:
+    """All links between classes of equal sets (a < b: class ids), and the documents: doc_id, n_shingles, component_id, class_id."""
+    docs, scratch = plain(docs), Scratch(docs.sparkSession, "ngram-join")
+    rows, place = grouped(docs, scratch, width, num, den, bits, block)
+    place = scratch.save(place.withColumn("class_id", F.col("c1")), "place")
+    members = place.where("root is not null").select(F.col("c1").alias("cls"), "rep", "copies", "root")
+    return component_links(docs, members, scratch, False, block, width, num, den), placed(rows, place, "class_id")
+
+
+def near_duplicate_counts(
+    docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bits: int = 22, block: int = 256
+) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, the number of other documents that each document is linked with."""
+    docs, scratch = plain(docs), Scratch(docs.sparkSession, "ngram-join")
+    rows, place = grouped(docs, scratch, width, num, den, bits, block)
+    place = scratch.save(place, "place")
+    members = place.where("root is not null").select(F.col("c1").alias("cls"), "rep", "copies", "root")
+    linked = component_links(docs, members, scratch, True, block, width, num, den).groupBy("cls").agg(F.sum("linked").alias("linked"))
+    counted = place.join(linked, F.col("c1") == F.col("cls"), "left").drop("cls")
+    out = placed(rows, counted.withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0))), "n_links")
+    return out.withColumn("n_links", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0))
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
@@ -323,4 +454,4 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_components(load(spark, sf_dir, "doc_id", "text"))
+    return near_duplicate_counts(load(spark, sf_dir, "doc_id", "text"))

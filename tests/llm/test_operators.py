@@ -116,6 +116,25 @@ def test_join_finds_all_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_join_finds_all_links(spark):
+    docs = near_copies() + [(10_000 + i, t) for i, t in texts(spark)[:100]] + [(20_000, None), (20_001, " ")]
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for i, w in ((i, (t or "").encode().lower().split()) for i, t in docs)}
+    links, n_links = set(), Counter()
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i != j and x and y and 5 * len(x & y) >= 4 * len(x | y):
+                n_links[i] += 1
+                links |= {frozenset((x, y))} if x != y else set()
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_join.near_duplicate_counts(table, block=16).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: n_links[i] for i in sets}
+    found, rows = ngram_join.near_duplicate_links(table, block=16)
+    class_of = {r.class_id: sets[r.doc_id] for r in rows.collect()}
+    pairs = [frozenset((class_of[r.a], class_of[r.b])) for r in found.collect()]
+    assert len(pairs) == len(links) > 300 and set(pairs) == links
+    assert "n_links" in ngram_join.op1_ngram_jaccard_join(spark, DATA).columns
+
+
 def test_parities_never_exceed_the_difference(spark):
     rng, rows = np.random.default_rng(4), []
     for n, m, both in ((1, 1, 0), (1, 1, 1), (60, 70, 55), (64, 65, 60), (128, 140, 120), (900, 1100, 850), (900, 100, 90), (3000, 3000, 0)):
