@@ -89,7 +89,7 @@ def likeness(a, b, count: int):
     return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] == x["b"])) / F.lit(float(count))
 
 
-def fingerprint(docs: DataFrame, count: int = 32, seed: int = 3) -> DataFrame:
+def fingerprint(docs: DataFrame, count: int = 128, seed: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of ``docs`` (doc_id, text)."""
     parts = task_count(docs.sparkSession)
     dealt = ranged(docs, parts)

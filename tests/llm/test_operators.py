@@ -164,6 +164,18 @@ def test_fingerprints_estimate_likeness(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_fingerprints_hold_enough_samples(spark):
+    docs = sorted(texts(spark))
+    got = {r.doc_id: r for r in fingerprints.op2_weighted_fingerprints(spark, DATA).collect()}
+    assert {len(r.fingerprint) for r in got.values()} == {128 * 4}
+    off = []
+    for (i, t), (_, n) in zip(docs, [*docs[1:], docs[0]], strict=True):
+        half = len(t) // 2
+        a, b = Counter(t.lower().split()), Counter((t[: len(t) - half] + n[:half]).lower().split())
+        off.append(got[i].near_edited - sum((a & b).values()) / max(1, sum((a | b).values())))
+    assert np.std(off) < 0.06
+
+
 def test_base_scores_and_counts(spark):
     docs = texts(spark)
     counts = Counter()
