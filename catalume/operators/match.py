@@ -58,9 +58,10 @@ def consensus(claims: DataFrame, key: str, value: str, supporter: str) -> DataFr
     return out.select(key, status.alias("status"), F.when(only, F.col("v")).alias(value), F.when(only, F.col("s")).otherwise(0).alias("support"))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """node, label: the smallest node reachable over undirected ``edges``. Labels move to neighbours and then jump along
-    themselves, so rounds grow with the logarithm of the width; each round is checkpointed in spark.checkpoint.dir."""
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, label: the smallest node reachable over undirected ``edges``. All nodes of one label take the smallest label next to
+    any of them, labels then jump along themselves, and this goes on until nothing changes; each round is checkpointed in
+    spark.checkpoint.dir."""
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
@@ -68,12 +69,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("node"), "label").checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        hook = step.groupBy("old").agg(F.min("label").alias("hook"))
+        step = step.join(hook, "old").select("node", F.least("label", "hook").alias("label"), "old").checkpoint()
         jump = step.select(F.col("node").alias("j"), F.col("label").alias("to"))
         fresh = step.join(jump, F.col("label") == F.col("j"), "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), "old").checkpoint()
         labels = fresh.select("node", "label")
         if fresh.where("label != old").limit(1).count() == 0:
-            break
-    return labels
+            return labels
