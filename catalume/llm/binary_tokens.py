@@ -8,7 +8,8 @@ A part is written by one task under a name of its own attempt and renamed when c
 harm. Files go to a folder that executors share, through pyarrow's file systems; local ones are memory-mapped for reading.
 
 Defined results: null and empty texts are the end id alone; equal doc_ids follow each other in the order of their texts;
-a null doc_id comes first and stays null; an empty table has no rows; other columns are ignored.
+a null doc_id comes first and stays null; texts of any length are written whole; an empty table has no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import json
 import os
 import uuid
 
+
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import load, shared_dir, task_count
+from catalume.llm.common import load, shared_folder, slices, task_count
 from catalume.llm.tokens import crc32, encoder, vocabulary_path
 
 NO_ID = np.iinfo(np.int64).min
@@ -40,7 +42,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, par
         name, own = f"{root}/{at.partitionId():06d}", f"{uuid.uuid4().hex}.tmp"
         ids, lengths = [], []
         with place.open_output_stream(f"{name}.ids.{own}") as out:
-            for batch in batches:
+            for batch in slices(batches):
                 ids.append(batch.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype("<i8"))
                 for data in encoder(vocabulary).encode(batch.column("text").cast(pa.binary()).to_pylist()):
                     found = np.frombuffer(data, "<u4")
@@ -104,7 +106,7 @@ def read_tokens(spark: SparkSession, folder: str, per_batch: int = 4096) -> Data
 
 
 def op9_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    folder = shared_folder(spark, "tokens")
     docs = load(spark, sf_dir, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     write_tokens(docs, folder, vocabulary_path(), end_id=1, parts=task_count(spark))
     return read_tokens(spark, folder)

@@ -5,10 +5,14 @@ Words are maximal runs of characters outside ``[\\x20\\x09-\\x0D]``, which is wh
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,19 +28,48 @@ def load(spark: SparkSession, sf_dir: str, *columns: str, table: str = "document
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which executors and driver share; set to a local one if unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which executors and driver share; a local one if unset and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes at its end what operators called inside have put into the shared folder; their results must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; it goes with the scope around it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 class Scratch:
     """Parquet tables in the shared folder. They cut lineage, survive lost executors and are dropped when used up."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.n = spark, shared_folder(spark, label), 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -48,11 +81,32 @@ class Scratch:
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
             if table is not None:
-                path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-                path.getFileSystem(conf).delete(path, True)
+                delete(self.spark, table.scratch_path)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``docs`` has already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batches, limit: int = 8 << 20):
+    """The record batches, cut so that each has at most ``limit`` bytes of ``text``, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def ascii_lower(column):
@@ -60,6 +114,17 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_caches: dict[str, object] = {}
+
+
+def cached(name: str, make):
+    """The Python worker's cache ``name``; all others are dropped, so a worker that serves several operators holds one."""
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = make()
+    return _caches[name]
+
+
 class WordHash(dict):
     """word bytes -> 64-bit hash; forgets all words beyond ``limit``, so memory is bounded."""
 
@@ -77,6 +142,10 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hash() -> WordHash:
+    return cached("words", WordHash)
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit mixing function, on unsigned integers."""
     x = x ^ (x >> np.uint64(32))

@@ -10,7 +10,8 @@ alone. Batches come in ascending doc_id, so of the documents that hold a key the
 them, should it repeat the line) and the others lose theirs.
 
 Defined results: a null or empty text is one empty line; a null doc_id neither owns nor loses lines; rows with one doc_id are
-one document; ties do not arise; an empty table gives an empty result; other columns pass through unread.
+one document; ties do not arise; texts of any length are read whole, a bounded run of texts at a time; an empty table gives
+an empty result; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import SPACES, Scratch, load, quantile_bounds, range_bucket, shared_dir, task_count
+from catalume.llm.common import SPACES, Scratch, fresh, load, quantile_bounds, range_bucket, shared_folder, slices, task_count
 
 HASH = ["h1", "h2"]
 
@@ -41,7 +42,7 @@ def line_keys(docs: DataFrame, least: int = 10) -> DataFrame:
     """doc_id, h1, h2: each key once for each row of ``docs`` (doc_id, text)."""
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             counts, found = [], []
             for text in texts:
@@ -64,7 +65,7 @@ class LevelledRuns:
         self.spark, self.fanout, self.levels = spark, fanout, []
         self.buckets = buckets or task_count(spark)
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
-        self.root = f"{shared_dir(spark)}/{self.name}"
+        self.root = shared_folder(spark, "line-runs")
         self.made = 0
 
     def _write(self, keys: DataFrame) -> str:
@@ -139,10 +140,10 @@ def strip_lines(docs: DataFrame, gone: DataFrame, make, fields: str, columns: li
     """Joins each document with the lines it loses; ``make(batch, kept, n_lines, n_dropped)`` gives the output columns."""
 
     def task(batches, least=10):
-        for batch in batches:
+        for batch in slices(batches):
             kept, lines, dropped = [], [], []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for text, a, b in zip(texts, batch.column("gone_1"), batch.column("gone_2"), strict=True):
+            for text, a, b in zip(texts, batch.column(first), batch.column(second), strict=True):
                 parts = (text or b"").split(b"\n")
                 rest = parts
                 if a.is_valid:
@@ -154,8 +155,9 @@ def strip_lines(docs: DataFrame, gone: DataFrame, make, fields: str, columns: li
                 dropped.append(len(parts) - len(rest))
             yield make(batch, kept, lines, dropped)
 
-    whole = docs.select(*columns).withColumn("_id", F.col("doc_id").cast("long"))
-    found = whole.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    key, first, second = fresh(docs, "_id", "_gone_1", "_gone_2")
+    gone = gone.select(F.col("doc_id").alias(key), F.col("gone_1").alias(first), F.col("gone_2").alias(second))
+    found = docs.select(*columns).join(gone, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     return found.mapInArrow(task, fields)
 
 

@@ -10,17 +10,18 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share `
 ``cap`` times its source's words, and the excess is shared again by weight. The driver sees one row for each source.
 
 Defined results: null and empty texts have size 0 and are never taken; equal rows are separate documents; a null doc_id is
-kept; an empty table gives an empty result; other columns are ignored.
+kept; of a text longer than a block every block is taken or left by itself; an empty table gives an empty result; other
+columns, whatever their names, are ignored by ``mix`` and pass through ``apply_mix``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalume.llm.common import WORD, Scratch, load, running_start, scramble, source_key
+from catalume.llm.common import WORD, Scratch, fresh, load, running_start, scramble, slices, source_key, task_count
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -93,7 +94,7 @@ def takes(sized: DataFrame, plan: list[tuple[str, int, int]], block: int, shards
     step = 65_536  # slots of one shard and source are made by as many tasks as they need
     runs = runs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
     runs = runs.withColumn("n", F.least(F.lit(step), F.col("n") - F.col("part"))).withColumn("first", F.col("first") + F.col("part"))
-    runs = runs.select("_source", "i", "blocks", "shard", "first", "n").repartition("_source", "shard", "first")
+    runs = runs.select("_source", "i", "blocks", "shard", "first", "n").repartition(task_count(spark), "_source", "shard", "first")
     slots = runs.mapInArrow(task, "_source string, block long, shard int")
     return slots.groupBy("_source", "block").agg(F.count("*").alias("times"))
 
@@ -144,30 +145,36 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: a document keeps the words taken once or more and, on a further line, those taken twice.
 
     A document that is taken as a whole keeps its text as it is; otherwise its words are joined by single spaces.
-    Documents of which nothing is taken go. n_chars, if there, follows.
+    Documents of which nothing is taken go. Equal rows each get pieces of their own. n_chars, if there, follows.
     """
-    names = docs.columns
+    names, seed = docs.columns, how.get("seed", 11)
+    key, draw, own, turn, pieces = fresh(docs, "_id", "_draw", "_own", "_turn", "_pieces")
 
     def task(batches):
-        for batch in batches:
-            fresh = []
-            for text, pieces in zip(batch.column("text").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+        for batch in slices(batches):
+            texts = []
+            for text, parts_ in zip(batch.column("text").to_pylist(), batch.column(pieces).to_pylist(), strict=True):
                 words, parts = text.encode().split(), []
-                for turn in (1, 2):
-                    got = [w for p in pieces if p["times"] >= turn for w in words[p["from"] : p["upto"]]]
+                for times in (1, 2):
+                    got = [w for p in parts_ if p["times"] >= times for w in words[p["from"] : p["upto"]]]
                     if got:
                         parts.append(text if len(got) == len(words) else b" ".join(got).decode())
-                fresh.append("\n".join(parts))
-            columns = {n: pa.array(fresh, batch.column(n).type) if n == "text" else batch.column(n) for n in names}
+                texts.append("\n".join(parts))
+            columns = {n: pa.array(texts, batch.column(n).type) if n == "text" else batch.column(n) for n in names}
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(f) for f in fresh], columns["n_chars"].type)
+                columns["n_chars"] = pa.array([len(f) for f in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([*columns.values()], names)
 
-    seed = how.get("seed", 11)
-    kept = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), "_draw", "pieces").dropDuplicates(["_id", "_draw"])
-    draw = F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.col("text"), F.lit("")))
-    found = docs.withColumn("_d", draw).join(kept, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_d") == F.col("_draw")))
-    return found.drop("_id", "_d", "_draw").mapInArrow(task, docs.schema)
+    # rows of equal doc_id and text stand in one list, and each takes the entry of its own number
+    found = mix(docs, **how).where("size > 0").groupBy(F.col("doc_id").cast("long").alias(key), F.col("_draw").alias(draw)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "pieces"))).alias(pieces)
+    )
+    found = found.where(F.exists(pieces, lambda x: x["pieces"].isNotNull()))
+    mark = F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn(own, mark).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(draw)))
+    several = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key, draw).orderBy(F.xxhash64(*names))))
+    taken = several.withColumn(pieces, F.get(F.col(pieces), F.col(turn) - 1)["pieces"]).where(F.col(pieces).isNotNull())
+    return taken.select(*names, pieces).mapInArrow(task, docs.schema)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

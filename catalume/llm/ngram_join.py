@@ -34,16 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import Scratch, WordHash, load, windows
+from catalume.llm.common import Scratch, fresh, load, slices, windows, word_hash
 from catalume.llm.components import components
 
-_words = WordHash()
 CELL_BLOCKS = 64
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    return np.unique(windows(_words.array((text or b"").lower().split()), width))
+    return np.unique(windows(word_hash().array((text or b"").lower().split()), width))
 
 
 def parities(own: np.ndarray) -> np.ndarray:
@@ -449,8 +448,9 @@ def near_duplicate_counts(
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` but those that are near duplicates of a smaller doc_id; rows with a null doc_id stay."""
-    gone = near_duplicate_components(docs, **how).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (key,) = fresh(docs, "_gone")
+    gone = near_duplicate_components(docs, **how).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

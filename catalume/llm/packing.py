@@ -9,7 +9,8 @@ The histogram has at most length / unit classes, whatever the input, so the prog
 from window functions inside hash buckets, so no class is sorted in one task.
 
 Defined results: a null or empty text is the end id alone; equal rows are separate documents, so a repeated doc_id repeats
-its pieces; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
+its pieces; a null doc_id is kept; a text of any length is encoded whole and cut into pieces; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalume.llm.common import Scratch, load, running_start
+from catalume.llm.common import Scratch, load, running_start, slices
 from catalume.llm.tokens import crc32, encoder, vocabulary_path
 
 
@@ -27,7 +28,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> DataFr
     """doc_id, start, length, ids_crc32, doc_tokens, _draw (a hash of the document) for each piece of ``docs``."""
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             ids, draws = batch.column("doc_id").to_pylist(), batch.column("_draw").to_pylist()
             end = end_id.to_bytes(4, "little")

@@ -8,7 +8,7 @@ from catalume.llm.line_dedup import OP5_SQL, op5_line_dedup
 from catalume.llm.mixing import op10_source_mixing
 from catalume.llm.ngram_join import op1_ngram_jaccard_join
 from catalume.llm.packing import op6_packing
-from catalume.llm.quality import op8_quality_rules
+from catalume.llm.quality import OP8_SQL, op8_quality_rules
 from catalume.llm.sharding import op7_stratified_sharding
 from catalume.llm.toxicity import op4_toxicity
 from catalume.llm.tree_scoring import op3_context_tree_scoring
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op5_line_dedup": OP5_SQL}
+SQL = {"op5_line_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}

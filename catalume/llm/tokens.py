@@ -6,15 +6,14 @@ import zlib
 
 import numpy as np
 
+from catalume.llm.common import cached
+
 #: How byte-level vocabularies write bytes as characters: printable Latin-1 as itself, the rest from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 #: Up to this letter, lower-casing is one to one and text is in composed form.
 LAST_PLAIN = "\u012f"
 
-_encoders: dict[str, "Encoder"] = {}
-
-
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -29,7 +28,7 @@ class Encoder(dict):
     Latin letters, with or without marks at its end, needs no pre-tokeniser: the library's model gets the lower-cased letters.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -57,13 +56,16 @@ class Encoder(dict):
         if len(text) < 100 and core.isalpha() and max(core) <= LAST_PLAIN:
             tail = text[len(core) :]
             if tail not in self.marks:
+                if len(self.marks) >= 10_000:
+                    self.marks.clear()
                 self.marks[tail] = self.whole(tail) if tail else b""
             found = self.of_letters(core) + self.marks[tail]
         else:
             found = self.whole(text)
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = found
+        if len(piece) < 100:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = found
         return found
 
     def encode(self, texts: list[bytes | None]):
@@ -73,9 +75,8 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder; its pieces are bounded in number and length (long pieces are not remembered)."""
+    return cached(path, lambda: Encoder(path))
 
 
 def crc32(data: bytes) -> int:

@@ -24,10 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import Scratch, WordHash, load, shared_dir
+from catalume.llm.common import Scratch, load, shared_dir, word_hash
 
 END = b"\n"
-_words = WordHash()
 
 
 def stream(text: bytes | None) -> bytes:
@@ -205,7 +204,7 @@ def chunked(docs: DataFrame, depth: int, chunk_bytes: int, folder: str) -> None:
                 keys, lengths = strings(own, depth)
                 grams += counted(keys, np.repeat(~np.array(held[lo:hi], bool), lengths))
                 split = [s[:-1].split() for s in own]
-                marks = np.concatenate([_words.array(s) for s in split])
+                marks = np.concatenate([word_hash().array(s) for s in split])
                 words += counted(marks, np.repeat(~np.array(held[lo:hi], bool), [len(s) for s in split]))
                 size += sum(map(len, own))
                 lo = hi
@@ -281,7 +280,7 @@ def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 24 << 20) -> DataF
             asked_for, lengths = strings(rows[lo:hi], depth)
             cost = np.add.reduceat(bits[np.searchsorted(strings_, asked_for)], np.cumsum(lengths) - lengths)
             for text, own in zip(rows[lo:hi], cost, strict=True):
-                found = _words.array(text[:-1].split())
+                found = word_hash().array(text[:-1].split())
                 c = np.zeros(len(found))
                 if len(marks):
                     at = np.minimum(np.searchsorted(marks, found), len(marks) - 1)
