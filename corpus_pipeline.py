@@ -6,16 +6,19 @@
 4. mixing: documents keep the words that the mixture takes.
 5. packing: token pieces and their places in sequences.
 
+Nulls: a null or blank text is rejected by quality, so later stages see words only; rows with a null doc_id pass all
+stages; equal rows are judged alike and, as exact copies under one doc_id, stay together until mixing, which takes each by
+itself. Very long texts are processed whole. An empty table passes through empty. Further columns, whatever their names,
+pass through to the last stage but one.
+
 SQL cannot express the tokenizer of the last stage, so ORACLE_SQL is None; tests compare run() with a brute-force version.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from catalume.llm.common import shared_dir
+from catalume.llm.common import delete, scratch_scope, shared_folder
 from catalume.llm.line_dedup import dedup_lines
 from catalume.llm.mixing import apply_mix
 from catalume.llm.ngram_join import keep_first
@@ -34,10 +37,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents; each result is written to the shared folder and read again."""
+    """All stages on the table documents; each result is written to the shared folder and read again, the one before it deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    folder, before = shared_folder(spark, "pipeline"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
