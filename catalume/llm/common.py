@@ -97,14 +97,14 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slices(batches, limit: int = 8 << 20):
-    """The record batches, cut so that each has at most ``limit`` bytes of ``text``, or one row."""
+def slices(batches, limit: int = 8 << 20, rows: int = 1 << 20):
+    """The record batches, cut so that each has at most ``limit`` bytes of ``text``, or one row, and at most ``rows`` rows."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < batch.num_rows:
             done = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + limit, "right")))
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, done + limit, "right"))))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

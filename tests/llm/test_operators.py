@@ -112,7 +112,7 @@ def near_copies():
 def test_join_finds_all_components(spark):
     docs = near_copies() + [(10_000 + i, t) for i, t in texts(spark)[:100]]
     want = plain_components(docs)
-    got = ngram_join.near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string"), block=16)
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block=16)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
@@ -126,7 +126,7 @@ def test_join_finds_all_links(spark):
                 n_links[i] += 1
                 links |= {frozenset((x, y))} if x != y else set()
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    got = ngram_join.near_duplicate_counts(table, block=16).collect()
+    got = ngram_join.near_duplicates(table, block=16).collect()
     assert {r.doc_id: r.n_links for r in got} == {i: n_links[i] for i in sets}
     found, rows = ngram_join.near_duplicate_links(table, block=16)
     class_of = {r.class_id: sets[r.doc_id] for r in rows.collect()}
@@ -135,16 +135,43 @@ def test_join_finds_all_links(spark):
     assert "n_links" in ngram_join.op1_ngram_jaccard_join(spark, DATA).columns
 
 
-def test_parities_never_exceed_the_difference(spark):
-    rng, rows = np.random.default_rng(4), []
-    for n, m, both in ((1, 1, 0), (1, 1, 1), (60, 70, 55), (64, 65, 60), (128, 140, 120), (900, 1100, 850), (900, 100, 90), (3000, 3000, 0)):
-        all_ = rng.choice(2**62, n + m - both, replace=False).astype(np.uint64)
-        a, b = ngram_join.parities(all_[:n]).tolist(), ngram_join.parities(all_[n - both :]).tolist()
-        rows.append((a, b, n + m - 2 * both))
-    table = spark.createDataFrame(rows, "a array<long>, b array<long>, most int")
-    got = table.select(ngram_join.parity_gap(F.col("a"), F.col("b")).alias("gap"), "most").collect()
-    assert all(0 <= r.gap <= r.most for r in got)
-    assert got[1].gap == 0 and got[7].gap > 1000
+def test_join_keeps_apart_texts_of_one_doc_id(spark):
+    words = [[f"w{k}_{i}" for i in range(120)] for k in range(2)]
+    close = [" ".join([*w[:-1], "other"]) for w in words]
+    rows = [(10, " ".join(words[0])), (10, " ".join(words[1])), (20, close[0]), (30, close[1]), (40, "w w w w w w"), (None, close[1].upper())]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 10, 2), (10, 10, 1), (10, 10, 2), (20, 10, 1), (30, 10, 2), (40, 40, 0)]
+    table = spark.createDataFrame(rows[:1] + [(10, "one two three four five six")] + rows[2:3], "doc_id long, text string")
+    kept = ngram_join.keep_first(table.withColumn("_id", F.lit(1)).withColumn("_copy", F.lit(2)))
+    assert sorted(r.text[:5] for r in kept.collect()) == ["one t", "w0_0 "] and kept.columns == ["doc_id", "text", "_id", "_copy"]
+
+
+def test_join_around_the_threshold(spark):
+    """One large group whose pairs lie just under and just over the threshold, in many blocks."""
+    rng, base = np.random.default_rng(8), [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 5)), replace=False):
+            own[at] = f"z{i}_{at}"
+        docs.append((i, " ".join(own[: int(rng.integers(110, 150))])))
+    want = plain_components(docs)
+    assert 5 < len({c for _, c in want.values()}) < 390
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block=32, most=5000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(2)
+    core = np.unique(rng.integers(0, 1 << 40, 300)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(core, int(rng.integers(1, len(core)))), rng.integers(0, 1 << 40, int(rng.integers(0, 200))).astype(np.uint64)])) for _ in range(40)]
+    for same, xs, ys in ((False, sets[:17], sets[17:]), (True, sets, sets)):
+        got = ngram_join.overlaps(xs, ys, same, slab=64)
+        want = np.array([[len(np.intersect1d(x, y)) for y in ys] for x in xs])
+        assert ((got == want) | (np.eye(*want.shape, dtype=bool) if same else False)).all()
+    keys = np.unique(rng.integers(0, 1 << 48, 1000)).astype(np.uint64)
+    for own in (keys, keys[:1], keys[:0], np.arange(50, dtype=np.uint64)):
+        assert (ngram_join.unpacked(ngram_join.packed(own)) == own).all()
 
 
 def test_fingerprints_estimate_likeness(spark):
