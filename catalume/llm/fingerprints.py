@@ -6,12 +6,13 @@ ln a = ln c - r * (t - b + 1), the word of least a, with its t, is the sample. T
 equal to their generalised Jaccard similarity, sum of least weights over sum of greatest; likeness is the share that agrees.
 The random values come from a table of Gamma quantiles, so a sample costs a hash, look-ups and a product.
 
-Words are counted and sampled inside tasks: documents are dealt once, by ranges of doc_id, and both the counting and the
-minima are grouped within a range. A sample is one long, its a in the upper bits, so minima stay in plain columns.
+Words are counted and sampled inside tasks: documents are dealt once, by small ranges of doc_id, and both the counting and
+the minima are grouped within a range. A sample is one long, its a in the upper bits, so minima stay in plain columns.
 
 Defined results: null and blank texts hold one empty word; equal texts have equal fingerprints; the next document of the last
-is the first; rows with one doc_id follow each other by text, and equal rows may swap; an only document is its own next; an
-empty table gives an empty result; other columns are ignored.
+is the first; a null doc_id comes before all others; rows with one doc_id follow each other by text, and equal rows may swap;
+an only document is its own next; texts of any length are read whole; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from catalume.llm.common import GAP, load, quantile_bounds, range_bucket, task_c
 
 TABLE = 1024
 LANE = 8  # samples computed side by side
+PART_BYTES = 2 << 20
 
 
 def gamma_quantiles(n: int = TABLE) -> list[float]:
@@ -40,19 +42,22 @@ def gamma_quantiles(n: int = TABLE) -> list[float]:
     return [quantile((i + 0.5) / n) for i in range(n)]
 
 
-def ranged(docs: DataFrame, parts: int) -> DataFrame:
-    """part, doc_id, _tie, text: dealt by ranges of doc_id; each range also has the first row of the next (``edge``)."""
+def ranged(docs: DataFrame) -> DataFrame:
+    """part, edge, doc_id, _tie, text: dealt by ranges of doc_id; each range also has the first row of the next (``edge``).
+    The number of ranges follows the size of the texts, so that what a task counts fits into its memory.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = quantile_bounds(rows, "doc_id", parts)
-    rows = rows.withColumn("part", range_bucket(F.col("doc_id"), cuts)).withColumn("_tie", F.xxhash64("text"))
-    first = {r["part"]: (r["f"]["doc_id"], r["f"]["_tie"]) for r in rows.groupBy("part").agg(F.min(F.struct("doc_id", "_tie")).alias("f")).collect()}
-    order = sorted(first)  # at most ``parts`` rows
-    edge, last = F.lit(None).cast("int"), order[-1] if order else 0
-    for part, before in zip(order, [last, *order[:-1]]):
-        doc, tie = first[part]
-        edge = F.when(F.col("doc_id").eqNullSafe(F.lit(doc)) & (F.col("_tie") == tie) & (F.col("part") == part), before).otherwise(edge)
-    both = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("edge")), F.when(edge.isNotNull(), F.struct(edge.alias("part"), F.lit(True).alias("edge")))))
-    dealt = rows.withColumn("_to", F.explode(both)).select("_to.part", "_to.edge", "doc_id", "_tie", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(task_count(docs.sparkSession), size // PART_BYTES)
+    rows = rows.withColumn("part", range_bucket(F.col("doc_id"), quantile_bounds(rows, "doc_id", parts))).withColumn("_tie", F.xxhash64("text"))
+    first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "_tie")).alias("f"))  # at most ``parts`` rows
+    turn = Window.orderBy("part")
+    before = F.coalesce(F.lag("part").over(turn), F.max("part").over(Window.partitionBy()))
+    edges = first.select("part", "f.doc_id", "f._tie", before.alias("before")).select(*[F.col(c).alias(f"{c}_") for c in ("part", "doc_id", "_tie")], "before")
+    own = (F.col("part") == F.col("part_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("_tie") == F.col("_tie_"))
+    found = rows.join(F.broadcast(edges), own, "left")
+    both = F.array_compact(F.array(F.struct("part", F.lit(False).alias("edge")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("edge")))))
+    dealt = found.withColumn("_to", F.explode(both)).select("_to.part", "_to.edge", "doc_id", "_tie", "text")
     return dealt.repartition(parts, "part")
 
 
@@ -91,8 +96,7 @@ def likeness(a, b, count: int):
 
 def fingerprint(docs: DataFrame, count: int = 128, seed: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of ``docs`` (doc_id, text)."""
-    parts = task_count(docs.sparkSession)
-    dealt = ranged(docs, parts)
+    dealt = ranged(docs)
     turn = Window.partitionBy("part").orderBy("edge", "doc_id", "_tie")
     half = F.floor(F.char_length("text") / 2).cast("int")
     new = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.lead("text").over(turn), F.lit(1), half))

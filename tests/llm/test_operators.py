@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from catalume.llm import binary_tokens, fingerprints, line_dedup, mixing, ngram_join, packing, quality, sharding, toxicity, tree_scoring
@@ -191,6 +193,45 @@ def test_fingerprints_estimate_likeness(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def plain_fingerprint(text, count=128, seed=3):
+    """The signature by a loop over samples and words."""
+
+    def mixed(*parts):
+        state = 42
+        for value, width in parts:
+            state = xxhash.xxh64_intdigest(value.to_bytes(width, "little"), state)
+        return state
+
+    quantiles = fingerprints.gamma_quantiles()
+    words = Counter(w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w) or Counter([""])
+    hashes = {xxhash.xxh64_intdigest(w.encode(), 42): n for w, n in words.items()}
+    out = []
+    for k in range(count):
+        lane, i = divmod(k, fingerprints.LANE)
+        least = []
+        for h, n in hashes.items():
+            u = mixed((seed + i, 4), (lane, 4), (h, 8))
+            r, c, b = quantiles[u & 1023], math.log(quantiles[(u >> 10) & 1023]), ((u >> 20) & 0xFFFFF) / 2**20
+            t = math.floor(math.log(n) / r + b)
+            height = min(2**31 - 1, max(0, math.floor((c - r * (t - b + 1) + 600) * 2**21)))
+            least.append((height, mixed((seed, 4), (h, 8), (t, 8), (i, 4)) & 0xFFFFFFFF))
+        out.append(f"{min(least)[1] & 0xFFFF:04x}")
+    return out
+
+
+def test_fingerprints_match_the_plain_signature(spark):
+    docs = sorted(texts(spark))
+    got = {r.doc_id: r for r in fingerprints.op2_weighted_fingerprints(spark, DATA).collect()}
+    own = {i: [r.fingerprint[k : k + 4] for k in range(0, 512, 4)] for i, r in got.items()}
+    for (i, t), (j, n) in zip(docs, [*docs[1:], docs[0]], strict=True):
+        assert got[i].near_next == sum(a == b for a, b in zip(own[i], own[j], strict=True)) / 128
+        if len(t) < 1500 and i % 10 == 0:
+            assert own[i] == plain_fingerprint(t)
+            half = len(t) // 2
+            new = plain_fingerprint(t[: len(t) - half] + n[:half])
+            assert got[i].edited_fingerprint == "".join(new) and got[i].near_edited == sum(a == b for a, b in zip(own[i], new, strict=True)) / 128
+
+
 def test_fingerprints_hold_enough_samples(spark):
     docs = sorted(texts(spark))
     got = {r.doc_id: r for r in fingerprints.op2_weighted_fingerprints(spark, DATA).collect()}
