@@ -128,7 +128,7 @@ def cached(name: str, make):
 class WordHash(dict):
     """word bytes -> 64-bit hash; forgets all words beyond ``limit``, so memory is bounded."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 

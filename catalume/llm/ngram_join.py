@@ -38,7 +38,7 @@ from catalume.llm.common import Scratch, fresh, load, scramble, slices, task_cou
 from catalume.llm.components import components
 
 KEY_BITS, DOC_BITS = 48, 16
-RANGE_SHINGLES = 4 << 20
+RANGE_SHINGLES = 2 << 20
 
 
 def shingle_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def rows_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, FIELDS)
 
 
-def requests(docs: DataFrame, width: int, ranges: int, chunk_shingles: int = 2 << 20) -> DataFrame:
+def requests(docs: DataFrame, width: int, ranges: int, chunk_shingles: int = 1 << 20) -> DataFrame:
     """Rows of SCHEMA for ``docs`` (doc_id, copy, text): each document; each chunk's sets and lists; its shingles by range."""
 
     def close(chunk: int, parts: list):
@@ -145,7 +145,7 @@ def requests(docs: DataFrame, width: int, ranges: int, chunk_shingles: int = 2 <
 
     def task(batches):
         part, made, parts, docs, size = TaskContext.get().partitionId(), 0, [], 0, 0
-        for batch in slices(batches, 4 << 20, 8192):
+        for batch in slices(batches, 2 << 20, 8192):
             keys, owner = shingle_runs(batch.column("text").cast(pa.binary()).to_pylist(), width)
             if parts and (size + len(keys) > chunk_shingles or docs + batch.num_rows >= 1 << DOC_BITS):
                 yield from close((part << 24) + made, parts)
