@@ -300,11 +300,12 @@ def plain_tree_scores(train, streams, depth):
     return out
 
 
-def test_tree_scores(spark):
+@pytest.mark.parametrize("depth", [3, 5])
+def test_tree_scores(spark, depth):
     docs = [(1, "The cat sat on the mat. The cat", False), (2, "a dog sat on a mat", False), (3, "the dog é sat", True), (4, None, False), (5, "", True)]
-    got = tree_scoring.score(spark.createDataFrame(docs, "doc_id long, text string, held boolean"), depth=3, chunk_bytes=20)
+    got = tree_scoring.score(spark.createDataFrame(docs, "doc_id long, text string, held boolean"), depth=depth, chunk_bytes=20)
     streams = [tree_scoring.stream(t.encode() if t else None) for _, t, _ in docs]
-    want = plain_tree_scores([s for s, d in zip(streams, docs, strict=True) if not d[2]], streams, 3)
+    want = plain_tree_scores([s for s, d in zip(streams, docs, strict=True) if not d[2]], streams, depth)
     found = {r.doc_id: r.score for r in got.collect()}
     assert np.allclose([found[i] for i, _, _ in docs], want, atol=1e-6)
 
