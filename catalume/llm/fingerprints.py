@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from catalume.llm.common import GAP, load, quantile_bounds, range_bucket, task_count
 
 TABLE = 1024
-LANE = 8  # samples computed side by side
+LANE = 4  # samples computed side by side; more make methods that the JVM no longer compiles
 PART_BYTES = 2 << 20
 
 
@@ -61,31 +61,27 @@ def ranged(docs: DataFrame) -> DataFrame:
     return dealt.repartition(parts, "part")
 
 
-def samples(words: DataFrame, keys: list[str], count: int, seed: int) -> DataFrame:
-    """sig (count hashes of 32 bits) for each group of ``keys`` of ``words`` (keys, h, w: a word's hash and its count)."""
+def samples(words: DataFrame, keys: list[str], count: int, seed: int, lane: int = LANE) -> DataFrame:
+    """sig (count longs: ln a, then 16 bits of the sample's hash) for each group of ``keys`` of ``words`` (keys, h, w: a word's hash and its count).
+
+    One 64-bit hash of sample and word gives the quantiles of r and c (10 bits each), b (20 bits) and, with t, the mark.
+    """
     quantile = F.array(*[F.lit(x) for x in gamma_quantiles()])
     log_quantile = F.array(*[F.lit(math.log(x)) for x in gamma_quantiles()])
-    lanes = words.withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(count // LANE)])))
-    lanes = lanes.withColumn("lw", F.log("w"))
-    made = []
-    for i in range(LANE):
-        u = F.xxhash64(F.lit(seed + i), "lane", "h")
+    lanes = words.select(*keys, "h", F.log("w").alias("lw"), F.explode(F.array(*[F.lit(seed + i) for i in range(0, count, lane)])).alias("lane"))
+    lanes = lanes.select(*keys, "lane", "lw", *[F.xxhash64(F.col("lane") + i, "h").alias(f"u{i}") for i in range(lane)])
+    packed = []
+    for i in range(lane):
+        u = F.col(f"u{i}")
         r = F.get(quantile, u.bitwiseAND(TABLE - 1).cast("int"))
         c = F.get(log_quantile, F.shiftrightunsigned(u, 10).bitwiseAND(TABLE - 1).cast("int"))
-        b = F.shiftrightunsigned(u, 20).bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))
-        made += [u.alias(f"u{i}"), r.alias(f"r{i}"), c.alias(f"c{i}"), b.alias(f"b{i}")]
-    lanes = lanes.select(*keys, "lane", "h", "lw", *made)
-    packed = []
-    for i in range(LANE):
-        t = F.floor(F.col("lw") / F.col(f"r{i}") + F.col(f"b{i}"))
-        a = F.col(f"c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + 1)
-        height = F.least(F.lit((1 << 31) - 1), F.greatest(F.lit(0), F.floor((a + 600.0) * F.lit(float(1 << 21)))))
-        mark = F.xxhash64(F.lit(seed), "h", t, F.lit(i)).bitwiseAND(0xFFFFFFFF)
-        packed.append(F.shiftleft(height.cast("long"), 32).bitwiseOR(mark).alias(f"s{i}"))
-    lanes = lanes.select(*keys, "lane", *packed)
-    least = lanes.groupBy(*keys, "lane").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(LANE)])
-    low = F.array(*[F.col(f"s{i}").bitwiseAND(0xFFFF).cast("int") for i in range(LANE)])
-    whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", low.alias("x")))).alias("x"))
+        b = F.shiftrightunsigned(u, 20).bitwiseAND(0xFFFFF) * F.lit(1 / (1 << 20))
+        t = F.floor(F.col("lw") / r + b)
+        height = F.floor((c - r * (t - b + 1) + 60.0) * F.lit(float(1 << 24)))  # -60 < ln a < 3
+        mark = (F.shiftrightunsigned(u, 40) + t * 40503).bitwiseAND(0xFFFF)
+        packed.append(F.shiftleft(height, 16).bitwiseOR(mark).alias(f"s{i}"))
+    least = lanes.select(*keys, "lane", *packed).groupBy(*keys, "lane").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(lane)])
+    whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", F.array(*[f"s{i}" for i in range(lane)]).alias("x")))).alias("x"))
     return whole.select(*keys, F.flatten("x.x").alias("sig"))
 
 
@@ -101,16 +97,23 @@ def fingerprint(docs: DataFrame, count: int = 128, seed: int = 3) -> DataFrame:
     half = F.floor(F.char_length("text") / 2).cast("int")
     new = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.lead("text").over(turn), F.lit(1), half))
     rows = dealt.select("part", F.row_number().over(turn).alias("row"), "edge", "doc_id", "text", new.alias("edited"))
-    keys = ["part", "row", "version"]
     texts = rows.select("part", "row", F.posexplode(F.array("text", "edited")).alias("version", "t")).where("t is not null")
     split = F.filter(F.split(F.lower("t"), GAP), lambda w: w != "")
     split = F.when(F.size(split) > 0, split).otherwise(F.array(F.lit("")))
-    words = texts.select(*keys, F.explode(split).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
-    counts = words.groupBy(*keys, "h").agg(F.count("*").alias("w"))
-    signed = samples(counts, keys, count, seed)
-    signed = signed.groupBy("part", "row").agg(
-        F.max(F.when(F.col("version") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("sig"))).alias("new")
+    words = texts.select("part", "row", "version", F.explode(split).alias("word")).select("part", "row", "version", F.xxhash64("word").alias("h"))
+    counts = words.groupBy("part", "row", "h").agg(F.count_if(F.col("version") == 0).alias("w0"), F.count_if(F.col("version") == 1).alias("w1"))
+    # a word with one count in both texts (which 3) is sampled once for both
+    shared, entry = F.col("w0") == F.col("w1"), lambda w, which: F.struct(F.col(w).alias("w"), F.lit(which).alias("which"))
+    entries = F.array_compact(F.array(F.when(shared, entry("w0", 3)), F.when(~shared & (F.col("w0") > 0), entry("w0", 1)), F.when(~shared & (F.col("w1") > 0), entry("w1", 2))))
+    counts = counts.select("part", "row", "h", F.explode(entries).alias("x")).select("part", "row", "x.which", "h", "x.w")
+    signed = samples(counts, ["part", "row", "which"], count, seed).groupBy("part", "row").agg(
+        *[F.max(F.when(F.col("which") == i, F.col("sig"))).alias(f"sig{i}") for i in (1, 2, 3)]
     )
+
+    def least(one: str):
+        return F.zip_with(F.coalesce(one, "sig3"), F.coalesce("sig3", one), lambda a, b: F.least(a, b).bitwiseAND(0xFFFF).cast("int"))
+
+    signed = signed.select("part", "row", least("sig1").alias("own"), least("sig2").alias("new"))
     said = rows.select("part", "row", "edge", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     after = Window.partitionBy("part").orderBy("row")
     out = signed.withColumn("next", F.lead("own").over(after)).join(said, ["part", "row"]).where("not edge")

@@ -207,15 +207,13 @@ def plain_fingerprint(text, count=128, seed=3):
     hashes = {xxhash.xxh64_intdigest(w.encode(), 42): n for w, n in words.items()}
     out = []
     for k in range(count):
-        lane, i = divmod(k, fingerprints.LANE)
         least = []
         for h, n in hashes.items():
-            u = mixed((seed + i, 4), (lane, 4), (h, 8))
+            u = mixed((seed + k, 4), (h, 8))
             r, c, b = quantiles[u & 1023], math.log(quantiles[(u >> 10) & 1023]), ((u >> 20) & 0xFFFFF) / 2**20
             t = math.floor(math.log(n) / r + b)
-            height = min(2**31 - 1, max(0, math.floor((c - r * (t - b + 1) + 600) * 2**21)))
-            least.append((height, mixed((seed, 4), (h, 8), (t, 8), (i, 4)) & 0xFFFFFFFF))
-        out.append(f"{min(least)[1] & 0xFFFF:04x}")
+            least.append((math.floor((c - r * (t - b + 1) + 60) * 2**24), ((u >> 40) + t * 40503) & 0xFFFF))
+        out.append(f"{min(least)[1]:04x}")
     return out
 
 
