@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalume.functions.predicates import source_failure
+from catalume.operators.pick import running_totals
+
 
 def sliding_sum(df: DataFrame, keys: list[str], millis: str, value: str, span: int, name: str) -> DataFrame:
     """The sum of ``value`` over (t - span, t] of each key; ``millis`` is the event time in integer units."""
@@ -29,21 +32,73 @@ def two_strikes(df: DataFrame, keys: list[str], time: str, order: list[str], fai
     return out.where((F.col("_f") == 1) & (F.col(time) - F.col("first_strike") >= apart)).drop("_f", "_island")
 
 
-def grant(df: DataFrame, keys: list[str], order: list[str], want: str, cap: int, name: str = "granted") -> DataFrame:
+def grant(df: DataFrame, keys: list[str], bucket: Column, order: list[str], want: str, cap: int, name: str = "granted") -> DataFrame:
     """A budget of ``cap`` for each key, given in order: least(want, what earlier requests left)."""
-    before = F.coalesce(F.sum(want).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn(name, F.least(F.col(want), F.greatest(F.lit(0), F.lit(cap) - before)))
+    out = running_totals(df, keys, bucket, order, F.col(want), "_upto")
+    return out.withColumn(name, F.least(F.col(want), F.greatest(F.lit(0), F.lit(cap) - F.col("_upto") + F.col(want)))).drop("_upto")
 
 
-def evict(df: DataFrame, group: list[str], order: list[str], size: str, keep: float) -> DataFrame:
+def evict(df: DataFrame, group: list[str], bucket: Column, order: list[str], size: str, keep: float) -> DataFrame:
     """The oldest rows of each group to remove until at most ``keep`` of the group's size is left."""
-    w = Window.partitionBy(*group)
-    before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_before", before).withColumn("_all", F.sum(size).over(w)).where(F.col("_all") - F.col("_before") > F.col("_all") * keep).drop("_before", "_all")
+    out = running_totals(df, group, bucket, order, F.col(size), "_upto").join(df.groupBy(*group).agg(F.sum(size).alias("_all")), group)
+    return out.where(F.col("_all") - F.col("_upto") + F.col(size) > F.col("_all") * keep).drop("_upto", "_all")
 
 
 def cursor(df: DataFrame, keys: list[str], id_: str, done: Column) -> DataFrame:
-    """The last id before the first row that is not done, by key; null if the first is not."""
+    """The last id before the first row that is not done, by key; null if the first row is not."""
     stop = df.groupBy(*keys).agg(F.min(F.when(~done, F.col(id_))).alias("_stop"))
-    out = df.join(stop, keys).where(F.col("_stop").isNull() | (F.col(id_) < F.col("_stop")))
-    return out.groupBy(*keys).agg(F.max(id_).alias("cursor"))
+    reached = df.join(stop, keys).where(F.col("_stop").isNull() | (F.col(id_) < F.col("_stop"))).groupBy(*keys).agg(F.max(id_).alias("cursor"))
+    return stop.select(*keys).join(reached, keys, "left")
+
+
+def fixed_windows(df: DataFrame, keys: list[str], millis: str, span: int) -> DataFrame:
+    """Adds window_start and hits: a window opens at a key's first hit and takes all hits within ``span``; the next hit opens another.
+
+    Where a window ends depends on the one before, so a key's times are folded in order (a limiter's key is one user or address).
+    """
+    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(millis)).alias("_t"))
+    start = F.expr("named_struct('at', cast(null as bigint), 'n', 0, 'out', cast(array() as array<struct<t:bigint,start:bigint,hits:int>>))")
+
+    def step(s: Column, t: Column) -> Column:
+        opens = s["at"].isNull() | (t >= s["at"] + span)
+        at, n = F.when(opens, t).otherwise(s["at"]), F.when(opens, 1).otherwise(s["n"] + 1)
+        return F.struct(at.alias("at"), n.alias("n"), F.concat(s["out"], F.array(F.struct(t.alias("t"), at.alias("start"), n.alias("hits")))).alias("out"))
+
+    folded = times.select(*keys, F.explode(F.aggregate("_t", start, step)["out"]).alias("_h"))
+    return folded.select(*keys, F.col("_h.t").alias(millis), F.col("_h.start").alias("window_start"), F.col("_h.hits").alias("hits"))
+
+
+def sliding_limiter(df: DataFrame, keys: list[str], millis: str, span: int, limit: int) -> DataFrame:
+    """keys, time, allowed, retry_ms: at most ``limit`` recorded hits within ``span``. Denied hits are not recorded, so the answer to
+    one depends on those before it, and a key's times are folded; the state holds ``limit`` times at most.
+    """
+    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(millis)).alias("_t"))
+    start = F.expr("named_struct('live', cast(array() as array<bigint>), 'out', cast(array() as array<struct<t:bigint,allowed:boolean,retry:bigint>>))")
+
+    def step(s: Column, t: Column) -> Column:
+        live = F.filter(s["live"], lambda x: x > t - span)
+        ok = F.size(live) < limit
+        retry = F.when(ok, F.lit(0).cast("long")).otherwise(F.get(live, F.lit(0)) + span - t)
+        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("live"), F.concat(s["out"], F.array(F.struct(t.alias("t"), ok.alias("allowed"), retry.alias("retry")))).alias("out"))
+
+    folded = times.select(*keys, F.explode(F.aggregate("_t", start, step)["out"]).alias("_h"))
+    return folded.select(*keys, F.col("_h.t").alias(millis), F.col("_h.allowed").alias("allowed"), F.col("_h.retry").alias("retry_ms"))
+
+
+def failure_backoff(df: DataFrame, keys: list[str], millis: str, failed: Column, free: int = 4, base: int = 250, most: int = 5000, expires: int = 900_000) -> DataFrame:
+    """Adds streak and delay_ms: nothing for the first ``free`` failures in a row, then base doubling up to ``most``; a success or a
+    pause of ``expires`` ends the streak.
+    """
+    w = Window.partitionBy(*keys).orderBy(millis)
+    gap = F.coalesce(F.col(millis) - F.lag(millis).over(w) > expires, F.lit(False))
+    marked = df.withColumn("_f", failed.cast("int")).withColumn("_cut", ((F.col("_f") == 0) | gap).cast("int")).withColumn("_island", F.sum("_cut").over(w))
+    out = marked.withColumn("streak", F.sum("_f").over(Window.partitionBy(*keys, "_island").orderBy(millis)))
+    delay = F.when(F.col("streak") > free, F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.col("streak") - free - 1))).otherwise(0.0)
+    return out.withColumn("delay_ms", delay.cast("long")).drop("_f", "_cut", "_island")
+
+
+def failure_memo(df: DataFrame, key: str, millis: str, status: str, now: Column, most: int = 5000) -> DataFrame:
+    """The failures still remembered at ``now``: the last of each key, until its time to live is over; the newest ``most`` keys."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(status, millis), F.col(millis)).alias("_l")).select(key, "_l.*")
+    live = last.withColumn("_f", source_failure(F.col(status))).withColumn("until", F.col(millis) + F.col("_f.ttl_ms")).where(F.col("until") > now)
+    return live.orderBy(F.desc(millis), key).limit(most).select(key, status, F.col("_f.response_status").alias("response_status"), "until")

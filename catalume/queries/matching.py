@@ -93,12 +93,9 @@ def unique_title(t):
     return per.select("name", "n", status.alias("status"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 7 * (o_orderkey % 3 + 1) AS b FROM orders WHERE o_orderkey % 4 = 0),
-n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, label) AS (SELECT a, a FROM n UNION SELECT n.b, r.label FROM r JOIN n ON n.a = r.node AND r.label < n.b)
-SELECT node, min(label) AS label FROM r GROUP BY 1""")
+@query()
 def components(t):
-    edges = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 7 * (F.col("o_orderkey") % 3 + 1)).alias("b"))
+    edges = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 7 * (F.col("o_orderkey") % 3 + 1)).alias("b"))
     return match.components(edges, "a", "b")
 
 
@@ -129,8 +126,9 @@ def hit_rank(t):
     return keep_first(few, ["p_brand"], order, 8).select("p_brand", "p_partkey", "score")
 
 
-@query("""SELECT p_brand, p_size, min(CASE WHEN p_partkey % 40 = 0 THEN p_partkey END) AS p_partkey FROM part GROUP BY ALL HAVING count(*) FILTER (p_partkey % 40 = 0) = 1""")
+@query("""SELECT p_brand, p_size, min(CASE WHEN p_retailprice > 980 AND p_name LIKE '%ring%' THEN p_partkey END) AS p_partkey FROM part GROUP BY ALL
+HAVING count(*) FILTER (p_retailprice > 980 AND p_name LIKE '%ring%') = 1""")
 def gate_rivals(t):
-    passed = F.col("p_partkey") % 40 == 0
+    passed = (F.col("p_retailprice") > 980) & F.col("p_name").contains("ring")
     per = t.part.groupBy("p_brand", "p_size").agg(F.min(F.when(passed, F.col("p_partkey"))).alias("p_partkey"), F.count_if(passed).alias("n"))
     return per.where("n = 1").drop("n")

@@ -23,7 +23,7 @@ WHERE rn > (page - 1) * 24 AND rn <= page * 24"""
 def _orders_page(t, number):
     done = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate", "o_totalprice")
     order = [F.desc_nulls_last("o_orderdate"), F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")]
-    return pick.page(done, order, number, 24)
+    return pick.page(done, order, F.coalesce(-F.unix_date(F.to_date("o_orderdate")), F.lit(1)), number, 24)
 
 
 @query(_page(3))

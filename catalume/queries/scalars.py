@@ -11,9 +11,9 @@ from catalume.queries.registry import query
 NORMAL = "trim(regexp_replace(lower(replace(replace(strip_accents({}), 'đ', 'd'), 'Đ', 'd')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {NORMAL.format('substr(text, 1, 200)')} AS title FROM documents")
+@query(f"SELECT doc_id, {NORMAL.format('text')} AS title FROM documents")
 def normalize_title(t):
-    return t.documents.select("doc_id", x.normalize_title(F.substring("text", 1, 200)).alias("title"))
+    return t.documents.select("doc_id", x.normalize_title(F.col("text")).alias("title"))
 
 
 @query("""SELECT p_partkey, CASE WHEN s = '' THEN 'movie' ELSE s END AS slug FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(
@@ -23,20 +23,52 @@ def slugify(t):
     return t.part.select("p_partkey", x.slugify(name).alias("slug"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_size % 7 END AS season, p_name AS base FROM part""")
-def season_extract(t):
-    title = F.concat(F.col("p_name"), F.lit(" (Season "), (F.col("p_size") % 7).cast("string"), F.lit(")"))
-    return t.part.select("p_partkey", x.season_of(title).alias("season"), x.base_title(title).alias("base"))
+TITLE = "p_name || CASE p_size % 5 WHEN 0 THEN ' (Season ' || p_size % 7 || ')' WHEN 1 THEN ' Phần ' || p_size WHEN 2 THEN ' mua 3' WHEN 3 THEN '' ELSE ' season 4 extended' END"
+SLUG = "replace(p_name, ' ', '-') || CASE p_size % 4 WHEN 0 THEN '-phan-' || p_size % 12 WHEN 1 THEN '-phan-2-2001' WHEN 2 THEN '-phan-x' ELSE '' END"
 
 
-@query("SELECT p_partkey FROM part WHERE contains(' ' || p_name || ' ', ' ' || split_part(p_name, ' ', 2) || ' ') AND contains(' ' || p_name || ' ', ' ring ')")
-def slug_run(t):
-    second = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
-    return t.part.where(x.has_run(F.col("p_name"), second) & x.has_run(F.col("p_name"), F.lit("ring"))).select("p_partkey")
+@query(f"""SELECT p_partkey, TRY_CAST(nullif(regexp_extract(n, '(?:^| )(?:season|phan) ([0-9][0-9]?)(?: |$)', 1), '') AS INT) AS season,
+TRY_CAST(nullif(regexp_extract(s, '(?:^|-)phan-([0-9][0-9]?)(?:-(?:19|20)[0-9][0-9])?$', 1), '') AS INT) AS slug_season,
+trim(regexp_replace(regexp_replace(n, '(?:^| )(?:season|phan) [0-9][0-9]?(?: |$)', ' '), ' +', ' ', 'g')) AS base
+FROM (SELECT p_partkey, {NORMAL.format(TITLE)} AS n, {SLUG} AS s FROM part)""")
+def season_extract(t):
+    k = F.col("p_size")
+    parts = F.when(k % 5 == 0, F.concat(F.lit(" (Season "), (k % 7).cast("string"), F.lit(")"))).when(k % 5 == 1, F.concat(F.lit(" Phần "), k.cast("string")))
+    title = F.concat("p_name", parts.when(k % 5 == 2, " mua 3").when(k % 5 == 3, "").otherwise(" season 4 extended"))
+    tail = F.when(k % 4 == 0, F.concat(F.lit("-phan-"), (k % 12).cast("string"))).when(k % 4 == 1, "-phan-2-2001").when(k % 4 == 2, "-phan-x").otherwise("")
+    slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), tail)
+    return t.part.select("p_partkey", x.season_of(title).alias("season"), x.season_in_slug(slug).alias("slug_season"), x.base_title(title).alias("base"))
 
 
-HTML = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
-'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+@query("""SELECT a.p_partkey, a.p_size, contains(' ' || a.p_name || ' ', ' ' || s || ' ') AS agrees FROM part a JOIN (SELECT p_size, p_brand,
+split_part(min(p_name), ' ', 1) || ' ' || split_part(min(p_name), ' ', 2) AS s FROM part GROUP BY ALL) b ON a.p_size = b.p_size AND a.p_brand = b.p_brand""")
+def slug_run(t):
+    least = t.part.groupBy("p_size", "p_brand").agg(F.min("p_name").alias("m"))
+    short = F.concat_ws(" ", F.split_part("m", F.lit(" "), F.lit(1)), F.split_part("m", F.lit(" "), F.lit(2)))
+    return t.part.join(least, ["p_size", "p_brand"]).select("p_partkey", "p_size", x.has_run(F.col("p_name"), short).alias("agrees"))
+
+
+def _html() -> str:
+    """The plain text of a page in SQL: entities first and tags after, twice, then Markdown signs and white space."""
+    out = "regexp_replace(html, '\\r\\n?', chr(10), 'g')"
+    for _ in range(2):
+        for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&mdash;", "—"), ("&amp;", "&")):
+            out = f"replace({out}, '{name}', '{sign}')"
+        for pattern, put in (
+            ("(?is)<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)", "' '"), ("(?s)<!--.*?(?:-->|\\z)", "' '"),
+            ("(?i)<\\s*br\\s*/?\\s*>|</\\s*(?:p|div|li|blockquote|h[1-6])\\s*>", "chr(10)"), ("(?i)</?[a-z!][^>]*>?", "' '"),
+        ):
+            out = f"regexp_replace({out}, '{pattern}', {put}, 'g')"
+    for pattern, put in (
+        ("!\\[([^\\]]*)\\]\\([^)]*\\)", "'\\1'"), ("\\[([^\\]]+)\\]\\([^)]*\\)", "'\\1'"), ("(?m)^\\s{0,3}#{1,6}\\s+", "''"), ("(?m)^\\s{0,3}>\\s?", "''"),
+        ("(?m)^\\s*(?:[-*+]|[0-9]+\\.)\\s+", "''"), ("\\*\\*(.+?)\\*\\*", "'\\1'"), ("__(.+?)__", "'\\1'"), *[("(^|[^\\w*])[*_]([^*_\\n]+)[*_]([^\\w*]|$)", "'\\1\\2\\3'")] * 2, ("~~(.+?)~~", "'\\1'"), ("`+([^`]*)`+", "'\\1'"),
+        ("[ \\t]+", "' '"), (" ?\\n ?", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), ("[<>]", "''"), ("^\\s+|\\s+$", "''"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', {put}, 'g')"
+    return out
+
+
+HTML = _html()
 
 
 @query(f"SELECT page_id, md5({HTML}) AS digest, length({HTML}) AS n FROM pages")
@@ -45,16 +77,16 @@ def html_text(t):
     return out.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE rtrim(CASE WHEN length(h) > 96 THEN h ELSE substr(text, 1, 120) END, ' ') || '…' END AS head FROM (
-SELECT *, regexp_extract(substr(text, 1, 120), '^(?s)(.*)\\s\\S*$', 1) AS h FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(CASE WHEN length(h) - strpos(reverse(h), ' ') > 96 AND contains(h, ' ')
+THEN left(h, length(h) - strpos(reverse(h), ' ')) ELSE h END, '\\s+$', '') || '…' END AS head FROM (SELECT *, substr(text, 1, 119) AS h FROM documents)""")
 def truncate_word(t):
     return t.documents.select("doc_id", x.truncate_at_word(F.col("text"), 120).alias("head"))
 
 
 @query("""SELECT doc_id, len(p) AS parts, TRY_CAST(nullif(regexp_extract(text, '[0-9]+', 0), '') AS INT) AS first_int FROM (
-SELECT *, list_filter(list_transform(string_split(substr(text, 1, 300), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)""")
+SELECT *, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)""")
 def split_people(t):
-    return t.documents.select("doc_id", F.size(x.split_list(F.substring("text", 1, 300))).cast("long").alias("parts"), x.first_integer(F.col("text")).alias("first_int"))
+    return t.documents.select("doc_id", F.size(x.split_list(F.col("text"))).cast("long").alias("parts"), x.first_integer(F.col("text")).alias("first_int"))
 
 
 @query("""SELECT event_id, CASE WHEN value > 50 THEN value END AS high, CASE WHEN value / 10 BETWEEN 0 AND 10 THEN round(value / 10, 1) END AS rating,

@@ -67,18 +67,18 @@ def two_strikes(t):
 @query("""SELECT doc_id, source FROM (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
 sum(n_chars) OVER (PARTITION BY source) AS a FROM documents) WHERE a - b > a * 0.9""")
 def evict_until(t):
-    return state.evict(t.documents.select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 0.9).select("doc_id", "source")
+    return state.evict(t.documents.select("doc_id", "source", "n_chars"), ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"], "n_chars", 0.9).select("doc_id", "source")
 
 
 @query("""SELECT event_id, least(want, greatest(0, 40 - prior))::BIGINT AS granted FROM (SELECT *, coalesce(sum(want) OVER (PARTITION BY day, event_type ORDER BY ts, event_id
 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM (SELECT *, ts::DATE AS day, (event_id % 5 + 1) AS want FROM events))""")
 def budget_grant(t):
     asked = t.events.withColumn("day", F.to_date("ts")).withColumn("want", F.col("event_id") % 5 + 1)
-    return state.grant(asked, ["day", "event_type"], LOG, "want", 40).select("event_id", "granted")
+    return state.grant(asked, ["day", "event_type"], F.hour("ts"), LOG, "want", 40).select("event_id", "granted")
 
 
-@query("""SELECT o_custkey, max(o_orderkey) AS cursor FROM orders o WHERE o_orderkey < coalesce((SELECT min(o_orderkey) FROM orders x WHERE x.o_custkey = o.o_custkey
-AND x.o_orderstatus = 'P'), 9223372036854775807) GROUP BY 1""")
+@query("""SELECT o_custkey, max(o_orderkey) FILTER (o_orderkey < stop) AS cursor FROM orders JOIN (SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_orderstatus = 'P'),
+9223372036854775807) AS stop FROM orders GROUP BY 1) USING (o_custkey) GROUP BY 1""")
 def cursor_advance(t):
     return state.cursor(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey", F.col("o_orderstatus") != "P")
 
@@ -87,7 +87,7 @@ def cursor_advance(t):
 min(CASE WHEN rn >= greatest(1, floor(n * 0.99)) THEN v END) AS p99 FROM (SELECT l_returnflag, l_extendedprice AS v,
 row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS rn, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) GROUP BY 1""")
 def nearest_rank_pct(t):
-    return pick.nearest_rank(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return pick.nearest_rank(t.lineitem, ["l_returnflag"], "l_extendedprice", F.floor(F.col("l_extendedprice") / 1000), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT o_custkey, max(n) AS best FROM c GROUP BY 1)
@@ -114,7 +114,7 @@ def survivor_choice(t):
 @query("""SELECT o_orderpriority, o_orderkey, chunk, source FROM (SELECT *, floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / 10)::BIGINT AS chunk
 FROM orders), (SELECT unnest(['a', 'b']) AS source)""")
 def chunk_work(t):
-    numbered = pick.chunks(t.orders.select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], [F.asc("o_orderkey")], 10)
+    numbered = pick.chunks(t.orders.select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], F.floor(F.col("o_orderkey") / 4096), [F.asc("o_orderkey")], 10)
     return numbered.withColumn("source", F.explode(F.lit(["a", "b"])))
 
 

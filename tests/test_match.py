@@ -10,3 +10,22 @@ def test_components_of_a_chain_with_falling_labels(spark):
     edges = [*zip(chain, chain[1:]), (1000, 1001), (1002, 1002)]
     got = match.components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
     assert {r.node: r.label for r in got.collect()} == dict.fromkeys(chain, 1) | {1000: 1000, 1001: 1000, 1002: 1002}
+
+
+def test_components_of_the_query(spark):
+    """The registered query against union-find over the same links."""
+    from catalume.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        a, b = find(r.o_custkey), find(r.o_custkey + 7 * (r.o_orderkey % 3 + 1))
+        root[max(a, b)] = min(a, b)
+    assert {r.node: r.label for r in QUERIES["components"](spark, folder).collect()} == {i: find(i) for i in list(root)}

@@ -31,12 +31,15 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     rows = [tuple(r) for r in df.select(*columns).collect()]
+    assert rows, "a query that finds nothing shows nothing"
+    if name not in SQL:  # tested against a plain version elsewhere
+        assert name in {"components"}
+        return
     want = duck.sql(SQL[name])
     assert sorted(want.columns) == columns
     theirs = duck.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
     assert len(rows) == len(theirs)
     assert shown(rows) == shown(theirs)
-    assert rows, "a query that finds nothing shows nothing"
 
 
 def test_flagship():
