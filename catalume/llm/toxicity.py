@@ -1,18 +1,20 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first four and five characters, so that inflected forms meet. Of the terms in the labelled sample
-those stay whose presence differs between the classes (chi-squared), up to ``max_terms``. Examples with equal vectors are one
-weighted example. The index keeps, for each term, postings cut into blocks of ``block`` examples and each block's greatest
-weight; a query scores its most promising blocks first and skips all whose bound does not reach the k-th best cosine, so the
-neighbours are exact. Their votes, weighted by cosine and number, are calibrated by a logistic curve fitted on the examples
-themselves, each left out of its own vote.
-
-Bounds, as documented parameters: at most ``max_examples`` labelled rows (those of least hash of the doc_id) and ``max_terms``
-terms make the index, so its size does not depend on the input and it may be broadcast. Texts are never shuffled.
-
-Defined results: texts without any term (null, empty) get the calibrated rate of such examples; conflicting labels of a doc_id
-count as toxic, null ones not at all; cosine ties go to the first example; without labels of both classes every score is the
-smoothed rate of toxic labels; an empty table gives an empty result; other columns are ignored.
+Terms are words and their first four and five characters, so that inflected forms meet. Fitting chooses, from the labelled
+sample, the terms whose presence differs between the classes (chi-squared), and their document frequencies are then counted
+over all documents. Examples with equal vectors are one weighted example. The index keeps postings by block of ``block``
+examples and by term, and each block's greatest weight of each term; a query reads its most promising blocks first and then
+only those whose bound reaches the k-th best cosine, so the neighbours are exact. Their votes, weighted by cosine and number,
+are calibrated by a logistic curve fitted on the examples themselves, each left out of its own vote.
+
+Bounds, as documented parameters of the fit: at most ``max_examples`` labelled documents (those of least hash of the doc_id)
+and ``max_terms`` terms make the index, so its size does not depend on the input and it may be broadcast. Texts of scored
+documents are never shuffled, and each is read whole.
+
+Defined results: texts without any term (null, empty) get the calibrated rate of such examples; of several texts of a labelled
+doc_id the least is the example; conflicting labels count as toxic, null ones not at all; cosine ties go to the first example;
+without labels of both classes every score is the smoothed rate of toxic labels; a null doc_id is scored and kept; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import load
+from catalume.llm.common import Scratch, load, slices
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
@@ -60,10 +62,11 @@ class Index:
         at = np.repeat(np.arange(len(vectors)), [len(v[0][0]) for v in vectors]) if vectors else np.zeros(0, int)
         term = np.concatenate([v[0][0] for v in vectors]) if vectors else np.zeros(0, int)
         weight = np.concatenate([v[0][1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.argsort(term, kind="stable")
-        self.at, self.weight = at[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.blocks = -(-len(vectors) // block)
+        place = (at // block) * len(terms) + term  # by block, then by term
+        order = np.argsort(place, kind="stable")
+        self.at, self.weight = at[order], weight[order]
+        self.start = np.searchsorted(place[order], np.arange(self.blocks * len(terms) + 1)).astype(np.int32)
         self.most = np.zeros((len(terms), max(1, self.blocks)), np.float32)
         np.maximum.at(self.most, (term, at // block), np.nextafter(weight.astype(np.float32), np.float32(2)))
         self.curve = (0.0, 0.0)
@@ -87,23 +90,26 @@ class Index:
                 found += own
         return tuple(sorted(Counter(found).items()))
 
+    def read(self, blocks: np.ndarray, term: np.ndarray, weight: np.ndarray, score: np.ndarray) -> None:
+        """Adds the products of the query's terms with the postings of these blocks only."""
+        spot = (blocks[:, None] * len(self.idf) + term[None, :]).reshape(-1)
+        lo, n = self.start[spot].astype(np.int64), (self.start[spot + 1] - self.start[spot]).astype(np.int64)
+        own = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score += np.bincount(self.at[own], self.weight[own] * np.repeat(np.tile(weight, len(blocks)), n), len(score))
+
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine, and their cosines, all above 0."""
         n = len(self.total)
         if not n:
             return np.zeros(0, int), np.zeros(0)
-        bound = weight @ self.most[term]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in term]
-        at = np.concatenate([self.at[s] for s in spans])
-        gain = np.concatenate([self.weight[s] * w for s, w in zip(spans, weight, strict=True)])
-        home = at // self.block
-        first = np.zeros(self.blocks, bool)
-        first[np.argpartition(-bound, min(self.blocks, 4) - 1)[:4]] = True
-        score = np.bincount(at[first[home]], gain[first[home]], n)
+        bound, score = weight @ self.most[term], np.zeros(n)
+        first = np.argpartition(-bound, min(self.blocks, 4) - 1)[:4]
+        self.read(first, term, weight, score)
         kth = np.partition(score, n - self.k)[n - self.k] if n > self.k else 0.0
-        rest = ~first & (bound >= kth) & (bound > 0)  # a block below the k-th best cannot hold a neighbour
+        rest = (bound >= kth) & (bound > 0)  # a block below the k-th best cannot hold a neighbour
+        rest[first] = False
         if rest.any():
-            score += np.bincount(at[rest[home]], gain[rest[home]], n)
+            self.read(np.flatnonzero(rest), term, weight, score)
         best = np.argsort(-score, kind="stable")[: self.k]
         best = best[score[best] > 0]
         return best, score[best]
@@ -121,20 +127,17 @@ class Index:
         rate = (self.toxic.sum() + self.none[0] + 0.5) / (self.total.sum() + self.none[1] + 1)
         return float((cosine @ toxic + 0.2 * rate) / (cosine @ total + 0.2)), best
 
-    def fit(self, examples: list[tuple[tuple, int, int, list[int]]]) -> None:
-        """Logistic calibration of votes, by Newton steps on the examples' left-out votes."""
-        xs, ys, ns = [], [], []
-        for counted, toxic, total, _ in examples:
-            own = None
-            if counted:
-                term, weight = self.vector(counted)
-                own = self.places[tuple(term.tolist()) + tuple(weight.tolist())]
-            for label, n in ((1, toxic), (0, total - toxic)):
-                if n:
-                    xs.append(self.vote(counted, own, label)[0])
-                    ys.append(label)
-                    ns.append(n)
-        x, y, n = np.array(xs), np.array(ys, float), np.array(ns, float)
+    def left_out(self, counted: tuple, label: int) -> float:
+        """The vote on an example without its own label."""
+        own = None
+        if counted:
+            term, weight = self.vector(counted)
+            own = self.places[tuple(term.tolist()) + tuple(weight.tolist())]
+        return self.vote(counted, own, label)[0]
+
+    def fit(self, votes: list[tuple[float, int, int]]) -> None:
+        """Logistic calibration by Newton steps; votes: (left-out vote, label, how often)."""
+        x, y, n = (np.array(c, float) for c in zip(*votes, strict=True))
         positive = (y * n).sum()
         target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (n.sum() - positive + 2))
         design, beta = np.stack([x - 0.5, np.ones_like(x)], 1), np.array([4.0, 0.0])
@@ -161,11 +164,36 @@ class Index:
         return self.answers[counted]
 
 
+def document_counts(docs: DataFrame, known: Index) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and how many there are: a row for each task is summed."""
+
+    def task(batches):
+        held, size = np.zeros(len(known.idf), np.int64), 0
+        for batch in slices(batches):
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                own = known.count(text)
+                held[[t for t, _ in own]] += 1
+                size += 1
+        where = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1)), pa.array(np.append(held[where], size))], ["term", "n"])
+
+    found = docs.select("text").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n")).collect()  # max_terms + 1 rows
+    counts, size = np.zeros(len(known.idf)), 0
+    for term, n in found:
+        if term < 0:
+            size = n
+        else:
+            counts[term] = n
+    return counts, size
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k: int, block: int, least: int = 5, chi: float = 25.0) -> Index:
     """The index of a bounded sample of ``labels`` (doc_id, toxic) over ``docs`` (doc_id, text)."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most max_examples ids
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most max_examples rows
+    sample = scratch.save(sample, "sample")
 
     def tally(batches):
         held, size = {}, [0, 0]
@@ -185,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int,
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))], ["term", "clean", "toxic"])
 
     counts = sample.select("toxic", "text").mapInArrow(tally, "term binary, clean long, toxic long")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = scratch.save(counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
     found = counts.where(F.col("term") == F.lit(b"\xff")).first()
     clean, toxic = (found["clean"], found["toxic"]) if found else (0, 0)
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -193,10 +221,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int,
     gap = a * (clean - b) - b * (toxic - a)
     value = F.when((a + b > 0) & (a + b < n), n * gap * gap / ((a + b) * (n - a - b) * max(1.0, float(clean) * toxic))).otherwise(0.0)
     kept = counts.where((a + b >= least) & (F.col("term") != F.lit(b"\xff"))).withColumn("chi", value).where(F.col("chi") >= chi)
-    kept = sorted((bytes(r["term"]), r["clean"] + r["toxic"]) for r in kept.orderBy(F.desc("chi"), "term").limit(max_terms).collect())
-    terms = [t for t, _ in kept]
-    idf = np.log((n + 1) / (np.array([d for _, d in kept], float) + 1)) + 0.1 if kept else np.zeros(0)
-    blank = Index(terms, idf, [], k, block)
+    terms = sorted(bytes(r["term"]) for r in kept.orderBy(F.desc("chi"), "term").limit(max_terms).collect())
+    blank = Index(terms, np.zeros(len(terms)), [], k, block)
+    df, size = document_counts(docs, blank) if terms else (np.zeros(0), 0)
+    idf = np.log((size + 1) / (df + 1)) + 0.1
 
     def vectors(batches):
         for batch in batches:
@@ -205,18 +233,26 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "counts"])
 
     merged: dict[tuple, list] = {}
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    for doc, y, t, c in sorted(rows):
+    table = scratch.save(sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>"), "vectors")
+    for doc, y, t, c in sorted(table.collect()):  # at most max_examples rows
         own = merged.setdefault(tuple(zip(t, c, strict=True)), [0, 0, []])
         own[0] += y > 0
         own[1] += 1
         own[2].append(doc)
-    examples = [(v, x[0], x[1], x[2][:5]) for v, x in sorted(merged.items())]
-    index = Index(terms, idf, examples, k, block)
+    index = Index(terms, idf, [(v, x[0], x[1], x[2][:5]) for v, x in sorted(merged.items())], k, block)
     if 0 < toxic and 0 < clean:
-        index.fit(examples)
+        shared = spark.sparkContext.broadcast(index)
+
+        def left_out(batches):
+            for batch in batches:
+                found = [shared.value.left_out(tuple(zip(t, c, strict=True)), int(y > 0)) for y, t, c in zip(*(batch.column(x).to_pylist() for x in ("toxic", "terms", "counts")), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), pa.array(np.asarray(batch.column("toxic")) > 0)], ["vote", "label"])
+
+        votes = table.mapInArrow(left_out, "vote double, label boolean").groupBy("vote", "label").agg(F.count("*").alias("n"))
+        index.fit(sorted((r["vote"], int(r["label"]), r["n"]) for r in votes.collect()))  # at most max_examples rows
     else:
         index.curve = (0.0, float(np.log((toxic + 0.5) / (clean + 0.5))))
+    scratch.drop(sample, counts, table)
     return index
 
 
@@ -226,7 +262,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.score(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             score = np.array([s for s, _ in found])
             columns = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([e for _, e in found], pa.list_(pa.int64()))]

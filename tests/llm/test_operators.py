@@ -321,15 +321,94 @@ def test_block_max_neighbours_are_exact():
     examples = [(tuple((int(t), int(rng.integers(1, 4))) for t in sorted(rng.choice(60, 5, replace=False))), int(i % 3 == 0), 1, [i]) for i in range(500)]
     index = toxicity.Index([b"%d" % i for i in range(60)], rng.uniform(0.5, 3, 60), examples, 7, 8)
     matrix = np.zeros((500, 60))
-    for t in range(60):
-        s = slice(index.start[t], index.start[t + 1])
-        matrix[index.at[s], t] = index.weight[s]
+    for i in range(index.blocks * 60):
+        s = slice(index.start[i], index.start[i + 1])
+        matrix[index.at[s], i % 60] = index.weight[s]
     for counted, *_ in examples[:50]:
         term, weight = index.vector(counted)
         plain = np.sort(matrix[:, term] @ weight)[::-1][:7]
         assert np.allclose(index.nearest(term, weight)[1], plain)
 
 
+def test_toxicity_scores_match_brute_force(spark):
+    where = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("toxic")).collect()
+    learnt = {r.doc_id: r.toxic for r in labels if not held(r.doc_id)}
+    index = toxicity.learn(docs, spark.createDataFrame(list(learnt.items()), "doc_id long, toxic int"), 20_000, 4096, 15, 64)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    counted = {i: dict(index.count(t.encode())) for i, t in rows.items()}
+    n_terms = len(index.idf)
+    df = np.zeros(n_terms)
+    for c in counted.values():
+        df[list(c)] += 1
+    assert np.allclose(index.idf, np.log((len(rows) + 1) / (df + 1)) + 0.1)  # over all documents
+
+    def unit(c):
+        v = np.zeros(n_terms)
+        for t, n in c.items():
+            v[t] = (1 + math.log(n)) * index.idf[t]
+        return v / (np.linalg.norm(v) or 1)
+
+    got = {r.doc_id: r for r in toxicity.op4_toxicity(spark, where).collect()}
+    assert got.keys() == rows.keys() and all(r.held_out == held(i) for i, r in got.items())
+    examples = {}
+    for i, y in learnt.items():
+        entry = examples.setdefault(tuple(sorted(counted[i].items())), [0, 0])
+        entry[0], entry[1] = entry[0] + y, entry[1] + 1
+    none = examples.pop((), [0, 0])
+    matrix, toxic, total = np.array([unit(dict(k)) for k in examples]), *np.array(list(examples.values()), float).T
+    rate = (toxic.sum() + none[0] + 0.5) / (total.sum() + none[1] + 1)
+    a, b = index.curve
+    checked = 0
+    for i in sorted(rows)[::10]:
+        cosine = matrix @ unit(counted[i])
+        order = np.sort(cosine)[::-1]
+        if not counted[i] or (len(order) > 15 and order[14] > 1e-9 and order[14] - order[15] < 1e-9):
+            continue  # no term, or a tie at the last place
+        best = np.argsort(-cosine)[:15]
+        best = best[cosine[best] > 1e-12]
+        vote = (cosine[best] @ toxic[best] + 0.2 * rate) / (cosine[best] @ total[best] + 0.2)
+        assert abs(got[i].score - 1 / (1 + math.exp(-(a * (vote - 0.5) + b)))) < 1e-6
+        checked += 1
+    assert checked > 20
+
+
+def plain_shards(docs, shards=8, seed=7):
+    """doc_id, text -> shard, slot, by sorting all rows by fractional rank."""
+
+    def signed(n):
+        return n - (1 << 64) if n >> 63 else n
+
+    def draw(i, crc, size):
+        state = 42
+        for value, width in ((seed, 4), (i, 8), (crc, 8), (size, 8)):
+            state = xxhash.xxh64_intdigest(value.to_bytes(width, "little", signed=True), state)
+        return signed(state)
+
+    sources = defaultdict(list)
+    for i, text, source in docs:
+        data = (text or "").encode()
+        crc, size = zlib.crc32(data), len(data) + 1
+        sources["" if source is None else "=" + source].append((draw(i, crc, size), i, crc, size))
+    placed = []
+    for source, rows in sources.items():
+        placed += [((k + 0.5) / len(rows), *row, source) for k, row in enumerate(sorted(rows))]
+    out = {}
+    for place, row in enumerate(sorted(placed)):
+        shard = place * shards // len(placed)
+        out[row[2]] = (shard, place - -(-shard * len(placed) // shards))
+    return out
+
+
+def test_sharding_matches_the_plain_order(spark):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows += [(50_000 + i, "same text", None if i % 2 else "src0") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(table).collect()} == plain_shards(rows)
+
+
 def test_sharding_law(spark):
     rows = sharding.op7_stratified_sharding(spark, DATA).collect()
     slots = defaultdict(list)
@@ -433,6 +512,81 @@ def test_mixture(spark):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, mixing.op10_source_mixing(spark, DATA).collect()))
 
 
+def plain_mix(docs, block=64, shards=16, seed=11):
+    """doc_id -> taken, by one loop over shards, sources and slots."""
+
+    def draw(i, text):
+        state = 42
+        for data in (seed.to_bytes(4, "little", signed=True), i.to_bytes(8, "little", signed=True), text.encode()):
+            state = xxhash.xxh64_intdigest(data, state)
+        return state - (1 << 64) if state >> 63 else state
+
+    streams = defaultdict(list)
+    for i, text, source in docs:
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        streams[source].append((draw(i, text or ""), i, size))
+    order = sorted(streams, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(n for *_, n in streams[s]) for s in order}
+    wanted = mixing.targets(list(sizes.items()))
+    blocks = [-(-sizes[s] // block) for s in order]
+    quotas = [min(round(wanted[s] / (sizes[s] / max(1, b))) if sizes[s] else 0, 2 * b) for s, b in zip(order, blocks, strict=True)]
+    times, given = [Counter() for _ in order], [0] * len(order)
+    for got in mixing.draws(quotas, shards, seed):
+        for k, n in enumerate(got):
+            for slot in range(given[k], given[k] + n):
+                turn, at = divmod(slot, blocks[k])
+                times[k][int(mixing.permuted(np.array([at]), blocks[k], (seed * 1_000_003 + k) * 8 + turn)[0])] += 1
+            given[k] += n
+    out = {}
+    for k, s in enumerate(order):
+        at = 0
+        for _, i, size in sorted(streams[s]):
+            out[i] = sum(times[k][(at + w) // block] for w in range(size))
+            at += size
+    return out, {s: (sizes[s], wanted[s]) for s in order}
+
+
+def test_mixture_matches_a_plain_loop(spark):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows += [(60_000, None, "src1"), (60_001, "", None), (60_002, "a few words of no source", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, sources = plain_mix(rows)
+    assert {r.doc_id: r.taken for r in got} == taken
+    by_id = {i: s for i, _, s in rows}
+    assert all((r.source_size, r.target) == pytest.approx(sources[by_id[r.doc_id]]) for r in got)
+
+
+def test_equal_rows_get_pieces_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(640))
+    table = spark.createDataFrame([(1, text, "a")] * 3 + [(2, text + " end", "a")], "doc_id long, text string, source string")
+    table = table.withColumn("_pieces", F.lit(1)).withColumn("_draw", F.lit("x")).withColumn("_id", F.lit(0))
+    want = sorted(r.taken for r in mixing.mix(table).collect())
+    kept = mixing.apply_mix(table)
+    assert kept.columns == table.columns and sorted(len(r.text.split()) for r in kept.collect()) == [n for n in want if n]
+
+
+def test_quality_keeps_rows_apart(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, "junk junk", "h"), (1, good, "h"), (2, good + " more", None), (2, good + " more", None), (None, good + " none", "h"), (3, None, "h")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = table.withColumn("_id", F.lit(1)).withColumn("frequent", F.lit("f")).withColumn("_lines", F.lit(2)).withColumn("copy", F.lit(3))
+    kept = quality.apply_rules(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, good), (2, good + " more"), (2, good + " more"), (0, good + " none")])
+    verdicts = [(r.doc_id, r.kept) for r in quality.judge(table.select("doc_id", "text", "source")).collect()]
+    assert sorted(verdicts, key=str) == sorted([(1, False), (1, True), (2, True), (2, True), (None, True), (3, False)], key=str)
+
+
+def test_quality_matches_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = quality.op8_quality_rules(spark, DATA)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({SQL['op8_quality_rules']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_targets_and_permutations():
     got = mixing.targets([("a", 10), ("b", 100), (None, 100)])
     assert got["a"] == 20 and got["b"] == 295 * 2 / 3 and math.isclose(sum(got.values()), 315)
