@@ -121,7 +121,7 @@ def requests(docs: DataFrame, width: int, ranges: int, chunk_shingles: int = 1 <
         keys, owner = pairs >> np.uint64(DOC_BITS), (pairs & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)
         sizes = np.bincount(owner, minlength=docs)
         c1, c2 = set_marks(keys, owner, sizes)
-        yield rows_of(r=ranges + chunk % ranges, chunk=chunk, kind=DOCUMENT, doc_id=pa.array(ids, mask=~valid), copy=copies, n=sizes, c1=c1, c2=c2)
+        yield rows_of(r=ranges + (chunk + (chunk >> 24)) % ranges, chunk=chunk, kind=DOCUMENT, doc_id=pa.array(ids, mask=~valid), copy=copies, n=sizes, c1=c1, c2=c2)
         _, first, same = np.unique(c1, return_index=True, return_inverse=True)
         keep = first[same][owner] == owner  # of equal sets in the chunk, one takes part
         keys, owner = keys[keep], owner[keep]
@@ -132,7 +132,7 @@ def requests(docs: DataFrame, width: int, ranges: int, chunk_shingles: int = 1 <
         who = owner[start] if len(start) else owner
         who = np.where(listed, docs + np.cumsum(listed) - 1, who).astype("<u4")
         yield rows_of(
-            r=ranges + chunk % ranges, chunk=chunk, kind=CHUNK, a=[np.stack([sizes, c1]).astype("<i8").tobytes()], b=[times[listed].astype("<u4").tobytes()], c=[members.astype("<u4").tobytes()]
+            r=ranges + (chunk + (chunk >> 24)) % ranges, chunk=chunk, kind=CHUNK, a=[np.stack([sizes, c1]).astype("<i8").tobytes()], b=[times[listed].astype("<u4").tobytes()], c=[members.astype("<u4").tobytes()]
         )
         keys = keys[start]
         cut = [0, *np.searchsorted(keys, [((i << KEY_BITS) + ranges - 1) // ranges for i in range(1, ranges)]).tolist(), len(keys)]

@@ -6,8 +6,10 @@ cut has the mixture of the whole. Law ``rows``: shard sizes differ by one row at
 
 No source is sorted in one task: both rankings run inside hash or fraction buckets, and bucket totals carry the ranks.
 
-Defined results: null texts have size 1 and the checksum of no bytes; null sources form a source of their own; rows that
-are equal in every column may swap places among themselves; an empty table gives an empty result; other columns are ignored.
+Defined results: null texts have size 1 and the checksum of no bytes; null sources form a source of their own; groups of
+equal texts are spread like other rows, as the law counts rows; a null doc_id is placed like any other; rows that are equal
+in every column may swap places among themselves; texts of any length are measured whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
