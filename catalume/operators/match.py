@@ -8,30 +8,113 @@ from pyspark.sql import functions as F
 from catalume.functions.scalars import dice
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: str, least: float, order: list[str]) -> DataFrame:
-    """For each row of ``left`` the first row of ``right`` (columns prefixed r_) in its block with Dice similarity >= ``least``.
+def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: list[str], least: float, order: list[str], oldest: int = 100) -> DataFrame:
+    """For each row of ``left`` the first row of ``right`` (columns prefixed r_) in its block whose greatest Dice similarity over the
+    word columns ``words`` is ``least`` or more, among the block's first ``oldest`` rows by ``order``.
 
-    Rows meet by block and by a common word, never as all pairs of a block.
+    Rows meet by block and by a common word of one column, never as all pairs of a block. Equal left rows stay apart.
     """
-    id_ = [F.struct(*[F.col(c) for c in left.columns]).alias("l")]
-    a = left.select(*block, *id_, F.explode(F.array_distinct(words)).alias("w"))
-    b = right.select(*block, F.struct(*[F.col(c) for c in right.columns]).alias("r"), F.explode(F.array_distinct(words)).alias("w"))
+    rows = left.withColumn("_row", F.monotonically_increasing_id())
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
+    kept = right.withColumn("_rank", rank).where(F.col("_rank") <= oldest).drop("_rank")
+    each = F.explode(F.flatten(F.array(*[F.transform(F.array_distinct(c), lambda w: F.concat_ws(" ", F.lit(n), w)) for n, c in enumerate(map(F.col, words))])))
+    a = rows.select(*block, F.struct(*[F.col(c) for c in rows.columns]).alias("l"), each.alias("w"))
+    b = kept.select(*block, F.struct(*[F.col(c) for c in right.columns]).alias("r"), each.alias("w"))
     met = a.join(b, [*block, "w"]).select("l", "r").distinct()
-    scored = met.withColumn("score", dice(F.col(f"l.{words}"), F.col(f"r.{words}"))).where(F.col("score") >= least)
+    score = F.array_max(F.array(*[F.coalesce(dice(F.col(f"l.{c}"), F.col(f"r.{c}")), F.lit(0.0)) for c in words]))
+    scored = met.withColumn("score", score).where(F.col("score") >= least)
     best = scored.groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct(*[F.col(f"r.{c}") for c in order])).alias("m"))
-    return best.select("l.*", *[F.col(f"m.r.{c}").alias(f"r_{c}") for c in right.columns], F.col("m.score").alias("score"))
+    return best.select(*[F.col(f"l.{c}").alias(c) for c in left.columns], *[F.col(f"m.r.{c}").alias(f"r_{c}") for c in right.columns], F.col("m.score").alias("score"))
 
 
-def one_to_one(left: DataFrame, right: DataFrame, block: list[str], l_id: str, r_id: str) -> DataFrame:
-    """l_id, r_id, status: pairs of equal blocks; ``paired`` if each is the other's only candidate, else ``ambiguous``.
+def one_to_one(left: DataFrame, right: DataFrame, block: list[str], l_id: str, r_id: str, evidence: Column | None = None, most: int = 6) -> DataFrame:
+    """l_id, r_id, evidence, status for rows of ``left`` with a candidate: ``paired`` if each is the other's only candidate, else
+    ``ambiguous``. Candidates share the block and have ``evidence``, a text expression over columns of both sides (null: none).
 
-    Blocks are counted before they are joined; only blocks of one row on each side make pairs, so no block is multiplied.
+    Blocks with over ``most`` rows on a side are generic names and are left out, so no block is multiplied.
     """
-    a = left.groupBy(*block).agg(F.count("*").alias("nl"), F.min(l_id).alias(l_id))
-    b = right.groupBy(*block).agg(F.count("*").alias("nr"), F.min(r_id).alias(r_id))
-    met = a.join(b, block)
-    alone = (F.col("nl") == 1) & (F.col("nr") == 1)
-    return met.select(*block, "nl", "nr", F.when(alone, F.col(l_id)).alias(l_id), F.when(alone, F.col(r_id)).alias(r_id), F.when(alone, "paired").otherwise("ambiguous").alias("status"))
+    few = lambda df: df.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).drop("_n")
+    met = left.join(few(left), block).join(right.join(few(right), block), block)
+    met = met.withColumn("evidence", F.lit("block") if evidence is None else evidence).where("evidence is not null")
+    mine = met.groupBy(l_id).agg(F.count("*").alias("_k"), F.min(F.struct(r_id, "evidence")).alias("_m"))
+    theirs = met.groupBy(r_id).agg(F.count("*").alias("_c"))
+    out = mine.withColumn(r_id, F.col(f"_m.{r_id}")).join(theirs, r_id)
+    alone = (F.col("_k") == 1) & (F.col("_c") == 1)
+    return out.select(l_id, F.when(alone, F.col(r_id)).alias(r_id), F.when(alone, F.col("_m.evidence")).alias("evidence"), F.when(alone, "paired").otherwise("ambiguous").alias("status"))
+
+
+def duplicates(rows: DataFrame, block: list[str], id_: str, marked: Column, near: Column, least: int = 2, most: int = 6) -> DataFrame:
+    """with_id, without_id: in blocks of ``least`` to ``most`` rows, each unmarked row with exactly one marked row that is ``near``
+    (an expression over a. and b.)."""
+    sized = rows.join(rows.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most)).drop("_n"), block).withColumn("_marked", marked)
+    a, b = sized.where("not _marked").alias("a"), sized.where("_marked").alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
+    test = near
+    for s in same:
+        test = test & s
+    found = a.join(b, test).groupBy(F.col(f"a.{id_}").alias("without_id")).agg(F.count("*").alias("_k"), F.min(f"b.{id_}").alias("with_id"))
+    return found.where("_k = 1").select("with_id", "without_id")
+
+
+def cast_match(rows: DataFrame, candidates: DataFrame, key: str, names: str, billed: str, first: int = 30, least: int = 2) -> DataFrame:
+    """key, candidate, shared, status of rows by how many of their ``names`` are among the first ``billed`` of each candidate:
+    ``verified`` for ``least`` or more and no other with as many, else ``tie`` or ``weak``."""
+    met = rows.join(candidates, key).withColumn("shared", F.size(F.array_intersect(F.array_distinct(names), F.slice(billed, 1, first))))
+    best = met.groupBy(key).agg(F.max("shared").alias("shared"), F.max_by("candidate", F.struct("shared", -F.col("candidate"))).alias("candidate"))
+    tied = met.join(best.select(key, F.col("shared").alias("_b")), key).where("shared = _b").groupBy(key).agg(F.count("*").alias("_n"))
+    status = F.when(F.col("shared") < least, "weak").when(F.col("_n") > 1, "tie").otherwise("verified")
+    return best.join(tied, key).select(key, "candidate", "shared", status.alias("status"))
+
+
+def rank_hits(hits: DataFrame, key: str, most: int = 8, other: int = 2) -> DataFrame:
+    """The hits worth a look: exact names 100, near years 30, 8 for each query that found them, less 2 a rank, and the log of votes;
+    at most ``other`` of the other type. hits: key, id, exact, year_near, queries, rank, votes, same_type."""
+    score = F.when(F.col("exact"), 100).otherwise(0) + F.when(F.col("year_near"), 30).otherwise(0) + F.col("queries") * 8 - F.col("rank") * 2 + F.log10(1 + F.col("votes"))
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "id")
+    scored = hits.withColumn("score", score)
+    second = F.count_if(~F.col("same_type")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kept = scored.withColumn("_o", second).where(F.col("same_type") | (F.col("_o") <= other))
+    return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("_o")
+
+
+def gate(candidates: DataFrame, key: str) -> DataFrame:
+    """key, candidate, tier: tier 1 passes on cast, year and size; tier 2 on an exact name, year and size where no rival passes either
+    tier. candidates: key, candidate, cast_ok, name_ok, year_ok, size_ok (null: unknown, which a false is and a pass is not)."""
+    fits = F.coalesce("year_ok", F.lit(False)) & F.coalesce("size_ok", F.lit(True))
+    tested = candidates.withColumn("_1", F.coalesce("cast_ok", F.lit(False)) & fits).withColumn("_2", F.coalesce("name_ok", F.lit(False)) & fits)
+    per = tested.groupBy(key).agg(
+        F.count_if("_1").alias("n1"), F.count_if(F.col("_1") | F.col("_2")).alias("n2"),
+        F.min(F.when(F.col("_1"), F.col("candidate"))).alias("c1"), F.min(F.when(F.col("_1") | F.col("_2"), F.col("candidate"))).alias("c2"),
+    )
+    first = F.col("n1") == 1
+    return per.where(first | ((F.col("n1") == 0) & (F.col("n2") == 1))).select(key, F.when(first, F.col("c1")).otherwise(F.col("c2")).alias("candidate"), F.when(first, 1).otherwise(2).alias("tier"))
+
+
+def alias_lookup(wanted: DataFrame, rows: DataFrame, sources: DataFrame, aliases: DataFrame) -> DataFrame:
+    """slug, id: by canonical or provider slug, best by season match, then canonical match, newest, slug; a merge alias only where
+    nothing else matched. wanted: slug, season; rows: id, slug, season, sorted_at; sources and aliases: slug, id."""
+    named = rows.select("id", F.col("slug").alias("own"), F.col("season").alias("_s"), "sorted_at")
+    direct = rows.select("slug", "id").withColumn("canonical", F.lit(1)).unionByName(sources.select("slug", "id").withColumn("canonical", F.lit(0)))
+    met = wanted.join(direct, "slug").join(named, "id")
+    order = F.struct((F.coalesce("season", F.lit(-1)) == F.coalesce("_s", F.lit(-1))).cast("int").alias("a"), F.col("canonical").alias("b"), F.col("sorted_at").alias("c"))
+    best = met.groupBy("slug").agg(F.max_by("id", order).alias("id"))
+    spare = wanted.join(best, "slug", "left_anti").join(aliases, "slug").groupBy("slug").agg(F.min("id").alias("id"))
+    return best.unionByName(spare)
+
+
+def family(rows: DataFrame) -> DataFrame:
+    """id, relative: rows of one base title or one series id (media_type, base, tmdb_id), from keyed groups of at most ten rows; larger
+    groups are generic names."""
+    keys = F.array_compact(F.array(F.concat_ws("|", F.lit("t"), "media_type", "base"), F.when((F.col("media_type") == "tv") & F.col("tmdb_id").isNotNull(), F.concat_ws("|", F.lit("i"), F.col("tmdb_id").cast("string")))))
+    each = rows.select("id", F.explode(F.array_distinct(keys)).alias("k"))
+    few = each.join(each.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n").between(2, 10)).select("k"), "k")
+    return few.join(few.select("k", F.col("id").alias("relative")), "k").where("id != relative").select("id", "relative").distinct()
+
+
+def alerts(stats: Column, pending: int, stall: int = 3) -> Column:
+    """What in a pass's counts (remaining, skipped, ambiguous, stalled) needs a look."""
+    tests = {"skipped": stats["skipped"] > 0, "ambiguous": stats["ambiguous"] > 0, "remaining": stats["remaining"] > pending, "stalled": stats["stalled"] >= stall}
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
 
 
 def waterfall(rules: list[DataFrame], key: str, order: list[str], veto: Column | None = None) -> DataFrame:

@@ -102,3 +102,60 @@ def failure_memo(df: DataFrame, key: str, millis: str, status: str, now: Column,
     last = df.groupBy(key).agg(F.max_by(F.struct(status, millis), F.col(millis)).alias("_l")).select(key, "_l.*")
     live = last.withColumn("_f", source_failure(F.col(status))).withColumn("until", F.col(millis) + F.col("_f.ttl_ms")).where(F.col("until") > now)
     return live.orderBy(F.desc(millis), key).limit(most).select(key, status, F.col("_f.response_status").alias("response_status"), "until")
+
+
+def probe_outcome(status: Column, code: Column) -> Column:
+    """ok, gone or transient for a probe of an image URL."""
+    return F.when(status.between(200, 399), "ok").when(status.isin(404, 410), "gone").when(status.isNull() & code.isin("ENOTFOUND", "ECONNREFUSED"), "gone").otherwise("transient")
+
+
+def host_verdicts(probes: DataFrame, host: str, outcome: str) -> DataFrame:
+    """host, verdict: alive with one ok, dead if all are gone, else unknown; if several hosts were probed and all seem dead, the prober
+    is at fault and all are unknown."""
+    per = probes.groupBy(host).agg(F.bool_or(F.col(outcome) == "ok").alias("_ok"), F.bool_and(F.col(outcome) == "gone").alias("_gone"))
+    judged = per.withColumn("_v", F.when(F.col("_ok"), "alive").when(F.col("_gone"), "dead").otherwise("unknown"))
+    every = judged.agg(((F.count("*") > 1) & F.bool_and(F.col("_v") == "dead")).alias("_all"))
+    return judged.crossJoin(F.broadcast(every)).select(host, F.when(F.col("_all"), "unknown").otherwise(F.col("_v")).alias("verdict"))  # one row
+
+
+def host_states(checks: DataFrame, host: str, at: str, verdict: str, dead_after: int) -> DataFrame:
+    """Adds failures and state after each check: a dead verdict counts, unknown changes nothing, alive resets; dead from ``dead_after``
+    failures on, and until alive."""
+    w = Window.partitionBy(host).orderBy(at)
+    marked = checks.withColumn("_island", F.count_if(F.col(verdict) == "alive").over(w))
+    failures = F.count_if(F.col(verdict) == "dead").over(Window.partitionBy(host, "_island").orderBy(at))
+    return marked.withColumn("failures", failures).withColumn("state", F.when(F.col("failures") >= dead_after, "dead").otherwise("alive")).drop("_island")
+
+
+def stale_pass(sources: DataFrame, outcomes: DataFrame, now: Column, gap_days: int = 7) -> DataFrame:
+    """The next sources (id, row_id, available, first_missing, next_check) after a pass over stale ones, with ``action``: refreshed; a
+    second 404 ``gap_days`` after the first retires the source; a first one waits that long; conflicts and other errors wait a day.
+    outcomes: id, outcome (ok, conflict, 404, error)."""
+    both = sources.join(outcomes, "id", "left")
+    missing, seen = F.col("outcome") == "404", F.col("outcome").isNotNull()
+    confirmed = missing & F.col("first_missing").isNotNull() & (F.datediff(now, "first_missing") >= gap_days)
+    action = F.when(~seen, "unseen").when(F.col("outcome") == "ok", "refreshed").when(confirmed, "retired").when(missing, "waiting").otherwise("deferred")
+    put = {
+        "available": F.when(confirmed, False).otherwise(F.col("available")),
+        "first_missing": F.when(F.col("outcome") == "ok", None).when(missing, F.coalesce("first_missing", now)).otherwise(F.col("first_missing")),
+        "next_check": F.when(F.col("outcome") == "ok", None).when(confirmed | ~seen, F.col("next_check")).when(missing, now + F.expr(f"interval {gap_days} days 1 hour")).otherwise(now + F.expr("interval 1 day")),
+    }
+    return both.select(*[put.get(c, F.col(c)).alias(c) for c in sources.columns], action.alias("action"))
+
+
+def rows_without_source(rows: DataFrame, sources: DataFrame, touched: DataFrame) -> DataFrame:
+    """The rows of ``touched`` (row_id) that no available source holds up: what a pass may delete."""
+    live = sources.where("available").select("row_id")
+    return rows.join(touched.select("row_id").distinct(), F.col("id") == F.col("row_id"), "left_semi").join(live, F.col("id") == F.col("row_id"), "left_anti")
+
+
+def cooled_down(rows: DataFrame, log: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Rows without a blocked or conflicting log entry in the last ``days``, and never undone. log: id, kind, created_at."""
+    recent = F.col("kind").isin("blocked", "conflict") & (F.col("created_at") > now - F.expr(f"interval {days} days"))
+    return rows.join(log.where(recent | (F.col("kind") == "undone")).select("id").distinct(), "id", "left_anti")
+
+
+def under_cap(rows: DataFrame, tries: DataFrame, cap: int = 3) -> DataFrame:
+    """Rows (id, key) with fewer than ``cap`` tries on their present key; tries on an older key do not count."""
+    used = tries.groupBy("id", "key").agg(F.count("*").alias("_n")).where(F.col("_n") >= cap)
+    return rows.join(used, ["id", "key"], "left_anti")

@@ -22,34 +22,40 @@ WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND {DICE} >= 0.96
 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) = 1""")
 def fuzzy_match(t):
     left, right = _halves(t)
-    out = match.fuzzy_match(left, right, ["p_size"], "words", 0.96, ["p_partkey"])
+    out = match.fuzzy_match(left, right, ["p_size"], ["words"], 0.96, ["p_partkey"])
     return out.select("p_partkey", "r_p_partkey", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT a.p_partkey AS a, b.p_partkey AS b, round({DICE}, 6) AS score FROM {PART} a JOIN {PART} b
-ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE {DICE} >= 0.5""")
 def dice_pairs(t):
-    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.split("p_name", " ").alias("wa"))
-    b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.split("p_name", " ").alias("wb"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(dice(F.col("wa"), F.col("wb")), 6).alias("score"))
-
-
-@query("""WITH a AS (SELECT p_name, p_size, count(*) AS nl, min(p_partkey) AS l FROM part WHERE p_brand < 'Brand#3' GROUP BY ALL),
-b AS (SELECT p_name, p_size, count(*) AS nr, min(p_partkey) AS r FROM part WHERE p_brand >= 'Brand#3' GROUP BY ALL)
-SELECT p_name, p_size, nl, nr, CASE WHEN nl = 1 AND nr = 1 THEN l END AS l, CASE WHEN nl = 1 AND nr = 1 THEN r END AS r,
-CASE WHEN nl = 1 AND nr = 1 THEN 'paired' ELSE 'ambiguous' END AS status FROM a JOIN b USING (p_name, p_size)""")
+    rows = t.part.select("p_brand", "p_size", "p_partkey", F.array_distinct(F.split("p_name", " ")).alias("w"))
+    each = rows.select("*", F.explode("w").alias("word"))  # only rows with a common word meet
+    a, b = (each.select("p_brand", "p_size", "word", F.col("p_partkey").alias(n), F.col("w").alias(f"w{n}")) for n in "ab")
+    met = a.join(b, ["p_brand", "p_size", "word"]).where("a < b").select("a", "b", F.round(dice(F.col("wa"), F.col("wb")), 6).alias("score")).distinct()
+    return met.where("score >= 0.5")
+
+
+@query("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY p_name, p_size, p_brand < 'Brand#3') AS n FROM part),
+m AS (SELECT a.p_partkey AS l, b.p_partkey AS r, CASE WHEN a.p_type = b.p_type THEN 'type' WHEN abs(a.p_retailprice - b.p_retailprice) < 40 THEN 'price' END AS evidence
+FROM s a JOIN s b USING (p_name, p_size) WHERE a.p_brand < 'Brand#3' AND b.p_brand >= 'Brand#3' AND a.n <= 6 AND b.n <= 6),
+c AS (SELECT *, count(*) OVER (PARTITION BY l) AS k, count(*) OVER (PARTITION BY r) AS c FROM m WHERE evidence IS NOT NULL)
+SELECT DISTINCT l, CASE WHEN k = 1 AND c = 1 THEN r END AS r, CASE WHEN k = 1 AND c = 1 THEN evidence END AS evidence,
+CASE WHEN k = 1 AND c = 1 THEN 'paired' ELSE 'ambiguous' END AS status FROM c""")
 def one_to_one(t):
-    left = t.part.where("p_brand < 'Brand#3'").withColumn("l", F.col("p_partkey"))
-    right = t.part.where("p_brand >= 'Brand#3'").withColumn("r", F.col("p_partkey"))
-    return match.one_to_one(left, right, ["p_name", "p_size"], "l", "r")
+    cut = lambda test, n: t.part.where(test).select("p_name", "p_size", F.col("p_partkey").alias(n), F.col("p_type").alias(f"t{n}"), F.col("p_retailprice").alias(f"p{n}"))
+    evidence = F.when(F.col("tl") == F.col("tr"), "type").when(F.abs(F.col("pl") - F.col("pr")) < 40, "price")
+    return match.one_to_one(cut("p_brand < 'Brand#3'", "l"), cut("p_brand >= 'Brand#3'", "r"), ["p_name", "p_size"], "l", "r", evidence)
 
 
-@query("""SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority
-AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) <= 30""")
+@query("""WITH s AS (SELECT *, o_orderdate::DATE AS d, o_orderstatus = 'F' AS m, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders),
+p AS (SELECT a.o_orderkey AS without_id, b.o_orderkey AS with_id, count(*) OVER (PARTITION BY a.o_orderkey) AS k FROM s a JOIN s b ON a.o_custkey = b.o_custkey
+AND a.o_orderpriority = b.o_orderpriority AND NOT a.m AND b.m AND abs(date_diff('day', a.d, b.d)) <= 300 WHERE a.n BETWEEN 2 AND 6)
+SELECT with_id, without_id FROM p WHERE k = 1""")
 def duplicate_pairs(t):
-    cut = lambda n: t.orders.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias(n), F.to_date("o_orderdate").alias(f"d{n}"))
-    joined = cut("a").join(cut("b"), ["o_custkey", "o_orderpriority"]).where("a < b and abs(datediff(da, db)) <= 30")
-    return joined.select("a", "b")
+    rows = t.orders.select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("d"))
+    near = F.abs(F.datediff("a.d", "b.d")) <= 300
+    return match.duplicates(rows, ["o_custkey", "o_orderpriority"], "o_orderkey", F.col("o_orderstatus") == "F", near)
 
 
 @query("""WITH c AS (SELECT s_suppkey, p_partkey, 1 AS rule FROM supplier JOIN part ON p_partkey = s_suppkey * 7 AND p_size > 10
@@ -67,12 +73,12 @@ def waterfall(t):
     return out.select("s_suppkey", "p_partkey", "rule")
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND nullif(a.p_size, 1) IS NOT DISTINCT FROM nullif(b.p_size, 1)
-AND a.p_partkey < b.p_partkey""")
+@query("""WITH h AS (SELECT p_brand, nullif(p_size, 1) AS s, max(p_partkey) AS holder, count(*) AS n FROM part GROUP BY ALL)
+SELECT p_partkey, holder, n FROM part JOIN h ON part.p_brand = h.p_brand AND nullif(p_size, 1) IS NOT DISTINCT FROM s""")
 def null_safe_tuple(t):
-    cut = lambda n: t.part.select("p_brand", F.nullif(F.col("p_size"), F.lit(1)).alias(f"s{n}"), F.col("p_partkey").alias(n))
-    a, b = cut("a"), cut("b").withColumnRenamed("p_brand", "bb")
-    return a.join(b, (F.col("p_brand") == F.col("bb")) & F.col("sa").eqNullSafe(F.col("sb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    rows = t.part.select("p_partkey", "p_brand", F.nullif(F.col("p_size"), F.lit(1)).alias("s"))
+    held = rows.groupBy(F.col("p_brand").alias("b"), F.col("s").alias("hs")).agg(F.max("p_partkey").alias("holder"), F.count("*").alias("n"))
+    return rows.join(held, (F.col("p_brand") == F.col("b")) & F.col("s").eqNullSafe(F.col("hs"))).select("p_partkey", "holder", "n")
 
 
 @query("""WITH p AS (SELECT l_orderkey, nullif(l_returnflag, 'N') AS flag, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY ALL)
@@ -113,17 +119,16 @@ def split_plan(t):
     return per.select("l_orderkey", F.array_join(F.transform("p", lambda x: F.concat(x["own"].cast("string"), x["l_returnflag"])), ",").alias("parts"))
 
 
-@query("""WITH s AS (SELECT p_brand, p_partkey, p_type, (CASE WHEN p_name LIKE '%ring%' THEN 100 ELSE 0 END) + (CASE WHEN p_size = 7 THEN 30 ELSE 0 END) - p_size AS score,
+@query("""WITH s AS (SELECT p_brand, p_partkey, p_type, round((CASE WHEN p_name LIKE '%ring%' THEN 100 ELSE 0 END) + (CASE WHEN p_size % 7 = 0 THEN 30 ELSE 0 END) + p_size % 3 * 8 - p_size % 10 * 2 + log10(1 + p_partkey), 6) AS score,
 p_size % 2 = 1 AS other FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, other ORDER BY score DESC, p_partkey) AS k FROM s)
 SELECT p_brand, p_partkey, score FROM r WHERE NOT other OR k <= 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) <= 8""")
 def hit_rank(t):
-    from catalume.operators.pick import keep_first
-
-    score = F.when(F.col("p_name").contains("ring"), 100).otherwise(0) + F.when(F.col("p_size") == 7, 30).otherwise(0) - F.col("p_size")
-    rows = t.part.select("p_brand", "p_partkey", score.alias("score"), (F.col("p_size") % 2 == 1).alias("other"))
-    order = [F.desc("score"), F.asc("p_partkey")]
-    few = keep_first(rows.where("other"), ["p_brand"], order, 2).unionByName(rows.where("not other"))
-    return keep_first(few, ["p_brand"], order, 8).select("p_brand", "p_partkey", "score")
+    k = F.col("p_size")
+    hits = t.part.select(
+        "p_brand", F.col("p_partkey").alias("id"), F.col("p_name").contains("ring").alias("exact"), (k % 7 == 0).alias("year_near"), (k % 3).alias("queries"),
+        (k % 10).alias("rank"), F.col("p_partkey").alias("votes"), (k % 2 != 1).alias("same_type"),
+    )
+    return match.rank_hits(hits, "p_brand").select("p_brand", F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
 @query("""SELECT p_brand, p_size, min(CASE WHEN p_retailprice > 980 AND p_name LIKE '%ring%' THEN p_partkey END) AS p_partkey FROM part GROUP BY ALL

@@ -126,9 +126,13 @@ def page_slice(t):
     return numbered.where("rn between 4 and 6").drop("rn")
 
 
-@query("""SELECT user_id, event_type, ts::DATE AS day, min(event_id) AS event_id FROM events GROUP BY ALL""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events),
+a AS (SELECT user_id, event_type, min(ms) AS ms FROM e GROUP BY ALL UNION ALL
+SELECT a.user_id, a.event_type, min(e.ms) FROM a JOIN e ON e.user_id = a.user_id AND e.event_type = a.event_type AND e.ms >= a.ms + 86400000 GROUP BY ALL)
+SELECT user_id, event_type, ms FROM a""")
 def insert_once(t):
-    return t.events.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("event_id"))
+    rows = t.events.select("user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return state.fixed_windows(rows, ["user_id", "event_type"], "ms", 86_400_000).where("hits = 1").select("user_id", "event_type", "ms")
 
 
 @query("""WITH r AS (SELECT p_size, p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn, p_size > 40 AS hit FROM part)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalume.functions.scalars import positive
 from catalume.functions.text import blank_to_null, first_integer, normalize_title, split_list
+from catalume.operators.identity import media_family
 
 DETAIL_A = """movie STRUCT<id STRING, name STRING, slug STRING, original_name STRING, thumb_url STRING, poster_url STRING,
   modified STRING, total_episodes STRING, current_episode STRING, year STRING, director STRING, casts STRING,
@@ -19,7 +20,11 @@ DETAIL_B = """movie STRUCT<tmdb STRUCT<id STRING, type STRING, season INT>, imdb
   episodes ARRAY<STRUCT<server_name STRING, server_data ARRAY<STRUCT<name STRING, slug STRING, link_embed STRING, link_m3u8 STRING>>>>"""
 
 
-def total_pages(payload: Column, paths: list[str]) -> Column:
+#: Where list payloads keep their page count, in the order they are tried (fixed values).
+PAGE_PATHS = ("$.paginate.total_page", "$.pagination.totalPages", "$.data.pagination.totalPages", "$.data.paginate.total_page")
+
+
+def total_pages(payload: Column, paths=PAGE_PATHS) -> Column:
     """The first positive integer among JSON paths."""
     found = [F.get_json_object(payload, p).try_cast("int") for p in paths]
     return F.coalesce(*[F.when(x > 0, x) for x in found])
@@ -33,7 +38,7 @@ def _servers(servers: Column, items: str, embed: str, stream: str) -> Column:
             s[items],
             lambda e, i: F.struct(
                 F.coalesce(blank_to_null(e["name"]), (i + 1).cast("string")).alias("name"),
-                e["slug"].alias("slug"), e[embed].alias("embed"), e[stream].alias("stream"),
+                F.coalesce(blank_to_null(e["slug"]), F.concat(F.lit("tap-"), (i + 1).cast("string"))).alias("slug"), e[embed].alias("embed"), e[stream].alias("stream"),
             ),
         )
         return F.struct(s["server_name"].alias("server"), episodes.alias("episodes"))
@@ -50,7 +55,7 @@ def _canonical(df: DataFrame, provider: str) -> DataFrame:
         normalize_title(F.col("title")).alias("normalized_title"), normalize_title(F.col("original_title")).alias("normalized_original_title"),
         positive(F.col("year")).cast("int").alias("year"), first_integer(F.col("total")).alias("episode_total"),
         tmdb.alias("tmdb_id"), F.nullif(F.col("season"), F.lit(0)).alias("tmdb_season"), imdb.alias("imdb_id"),
-        "poster", "thumb", "actors", "directors", "labels", "streams",
+        "poster", "thumb", "actors", "directors", "labels", "kind", media_family(F.col("kind")).alias("media_type"), "streams",
     ).where("slug is not null and title is not null")
 
 
@@ -59,13 +64,22 @@ def provider_a(raw: DataFrame, payload: str = "value") -> DataFrame:
     m = raw.select(F.from_json(payload, DETAIL_A).alias("d")).select("d.movie.*")
     groups = F.map_values(F.coalesce("category", F.from_json(F.lit("{}"), "map<string, struct<`group`: struct<name: string>, list: array<struct<name: string>>>>")))
     labels = F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(g["list"], lambda x: x["name"]))))
+
+    def group(name: str) -> Column:
+        own = F.filter(groups, lambda g: normalize_title(g["group"]["name"]) == name)
+        return F.coalesce(F.transform(F.try_element_at(own, F.lit(1))["list"], lambda x: x["name"]), F.array().cast("array<string>"))
+
+    formats = F.transform(group("dinh dang"), normalize_title)
+    said = lambda word: F.exists(formats, lambda f: f.contains(word))
+    kind = F.when(said("phim le"), "single").when(said("hoat hinh"), "hoathinh").when(said("tv show"), "tvshows").otherwise("series")
+    year = F.coalesce(blank_to_null(F.col("year")), F.try_element_at(group("nam"), F.lit(1)))
     return _canonical(
         m.select(
-            "slug", F.col("name").alias("title"), F.col("original_name").alias("original_title"), "year", F.col("total_episodes").alias("total"),
+            "slug", F.col("name").alias("title"), F.col("original_name").alias("original_title"), year.alias("year"), F.col("total_episodes").alias("total"),
             F.col("tmdb.id").alias("tmdb_id"), F.col("tmdb.season").alias("season"), F.col("imdb.id").alias("imdb_id"),
             F.col("poster_url").alias("poster"), F.col("thumb_url").alias("thumb"),
             split_list(F.col("casts")).alias("actors"), split_list(F.col("director")).alias("directors"),
-            labels.alias("labels"), _servers(F.col("episodes"), "items", "embed", "m3u8").alias("streams"),
+            labels.alias("labels"), kind.alias("kind"), _servers(F.col("episodes"), "items", "embed", "m3u8").alias("streams"),
         ), "a",
     )
 
@@ -80,7 +94,7 @@ def provider_b(raw: DataFrame, payload: str = "value") -> DataFrame:
             F.col("episode_total").alias("total"), F.col("tmdb.id").alias("tmdb_id"), F.col("tmdb.season").alias("season"),
             F.col("imdb.id").alias("imdb_id"), F.col("thumb_url").alias("poster"), F.col("poster_url").alias("thumb"),
             F.col("actor").alias("actors"), F.col("director").alias("directors"),
-            F.transform("category", lambda c: c["name"]).alias("labels"), _servers(F.col("episodes"), "server_data", "link_embed", "link_m3u8").alias("streams"),
+            F.transform("category", lambda c: c["name"]).alias("labels"), F.coalesce(blank_to_null(F.col("type")), F.lit("series")).alias("kind"), _servers(F.col("episodes"), "server_data", "link_embed", "link_m3u8").alias("streams"),
         ), "b",
     )
 
@@ -94,3 +108,58 @@ def read_cache(lines: DataFrame, line: str, number: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """All cells quoted, quotes doubled."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def trending_ids(pages: DataFrame) -> DataFrame:
+    """id, place: the distinct valid ids of ranked pages (page, ids) in first-seen order."""
+    each = pages.select("page", F.posexplode("ids").alias("pos", "id")).where(F.col("id") > 0)
+    return each.groupBy("id").agg(F.min(F.struct("page", "pos")).alias("place"))
+
+
+def ratings_reply(replies: DataFrame, asked: DataFrame) -> DataFrame:
+    """id and ratings of a batch reply (JSON arrays of id and ratings), for asked ids only; of repeated ids the first counts."""
+    rows = replies.select("batch", F.posexplode(F.from_json("value", "array<struct<id:string,ratings:map<string,double>>>")).alias("pos", "r"))
+    known = rows.where("r.id is not null").join(asked.select(F.col("id").alias("_id")).distinct(), F.col("r.id") == F.col("_id"), "left_semi")
+    return known.groupBy(F.col("r.id").alias("id")).agg(F.min_by("r.ratings", F.struct("batch", "pos")).alias("ratings"))
+
+
+def pages_due(checkpoint: DataFrame, head: int, backfill: int) -> DataFrame:
+    """lane, page: what a crawl reads next: the first ``head`` pages every time, and ``backfill`` pages from the checkpoint on (lane,
+    page, last_page), until the end."""
+    first = F.sequence(F.lit(1), F.least(F.lit(head), F.coalesce("last_page", F.lit(head))))
+    start = F.greatest(F.lit(head + 1), "page")
+    stop = F.least(start + backfill - 1, F.coalesce("last_page", start + backfill - 1))
+    more = F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+    return checkpoint.select("lane", F.explode(F.array_distinct(F.concat(first.cast("array<bigint>"), more.cast("array<bigint>")))).alias("page"))
+
+
+def list_identities(items: DataFrame) -> DataFrame:
+    """provider, slug and the identity keys of a list item's JSON (value): the lane that refreshes only these keys."""
+    read = lambda path: F.get_json_object("value", path)
+    claim = F.map_filter(F.create_map(F.lit("tmdb_id"), read("$.tmdb.id"), F.lit("tmdb_type"), read("$.tmdb.type"), F.lit("tmdb_season"), read("$.tmdb.season"), F.lit("imdb_id"), read("$.imdb.id")), lambda k, v: v.isNotNull() & (v != ""))
+    return items.select("provider", read("$.slug").alias("slug"), claim.alias("claim")).where("slug is not null")
+
+
+def sample_by_host(urls: DataFrame, seed: int, each: int) -> DataFrame:
+    """``each`` URLs of every host in a seeded random order."""
+    from catalume.functions.scalars import host
+    from catalume.operators.pick import seeded_sample
+
+    return seeded_sample(urls.withColumn("host", host(F.col("url"))), ["host"], "url", seed, each)
+
+
+def guest_list(stored: Column, most: int) -> Column:
+    """Slugs of a browser's stored rows (JSON: slug, savedAt), newest first, each once."""
+    rows = F.filter(F.from_json(stored, "array<struct<slug:string,savedAt:bigint>>"), lambda r: F.coalesce(F.trim(r["slug"]), F.lit("")) != "")
+    newest = F.array_sort(rows, lambda a, b: F.when(a["savedAt"] > b["savedAt"], -1).when(a["savedAt"] < b["savedAt"], 1).otherwise(0))
+    return F.slice(F.array_distinct(F.transform(newest, lambda r: F.trim(r["slug"]))), 1, most)
+
+
+def reader_card(payload: Column) -> Column:
+    """One card shape from the payload variants that catalogue readers meet (JSON)."""
+    first = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths])
+    return F.struct(
+        first("$.slug", "$.data.slug").alias("slug"), first("$.name", "$.title", "$.data.name").alias("name"), first("$.origin_name", "$.original_name", "$.originName").alias("origin_name"),
+        first("$.thumb_url", "$.thumb", "$.poster_url").alias("thumb"), first("$.poster_url", "$.poster", "$.thumb_url").alias("poster"), first("$.year").try_cast("int").alias("year"),
+        first("$.tmdb.vote_average", "$.vote_average").try_cast("double").alias("rating"),
+    )
