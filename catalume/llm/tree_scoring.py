@@ -195,10 +195,10 @@ def summed(data: bytes) -> np.ndarray:
 def parts_of(keys: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
     """The part of each sorted string (kind 1: by its three latest context bytes) or word hash (kind 2: by ranges)."""
     if kind == 2:
-        return ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+        return ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16)
     context = keys >> np.uint64(8 * (depth - TOP + 1))
     start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    own = (scramble(context[start] + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+    own = (scramble(context[start] + np.uint64(1)) % np.uint64(parts)).astype(np.uint16)  # sorted by radix
     return np.repeat(own, np.diff(start, append=len(keys)))
 
 
