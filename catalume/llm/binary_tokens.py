@@ -76,28 +76,25 @@ def read_tokens(spark: SparkSession, folder: str, per_batch: int = 4096) -> Data
         base += ids
 
     def opened(name: str, kind: str):
+        """A function from a range of entries to the array of them: memory-mapped locally, else read in that range only."""
         place, root = pafs.FileSystem.from_uri(folder)
-        path = f"{root}/{name}"
+        path, size = f"{root}/{name}", np.dtype(kind).itemsize
         if isinstance(place, pafs.LocalFileSystem):
-            return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
-        with place.open_input_file(path) as f:
-            return np.frombuffer(f.read(), kind)
+            whole = np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+            return lambda lo, hi: whole[lo:hi]
+        file = place.open_input_file(path)
+        return lambda lo, hi: np.frombuffer(file.read_at((hi - lo) * size, lo * size), kind)
 
     def task(batches):
         for batch in batches:
             for part, docs, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 index, ids = opened(f"{part:06d}.docs", "<i8"), opened(f"{part:06d}.ids", f"<u{width}")
-                names, offsets = np.asarray(index[:docs]), np.asarray(index[docs:])
                 for lo in range(0, docs, per_batch):
                     hi = min(docs, lo + per_batch)
-                    sums = [crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
+                    names, offsets = np.asarray(index(lo, hi)), np.asarray(index(docs + lo, docs + hi + 1))
+                    sums = [crc32(ids(a, b).astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(names[lo:hi], mask=names[lo:hi] == NO_ID),
-                            pa.array(offsets[lo:hi] + base),
-                            pa.array(np.diff(offsets[lo : hi + 1])),
-                            pa.array(sums, pa.int64()),
-                        ],
+                        [pa.array(names, mask=names == NO_ID), pa.array(offsets[:-1] + base), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

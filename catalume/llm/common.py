@@ -195,6 +195,11 @@ def range_bucket(column, bounds: list[int]):
     return F.when(column.isNull() | (at <= 0), 0).otherwise((at - 1) * step + inner).cast("int")
 
 
+def lots(rows: int, each: int = 100_000, least: int = 256) -> int:
+    """How many hash lots, a power of two, hold about ``each`` of ``rows`` rows or fewer: what a sort task gets does not grow."""
+    return 1 << max(least - 1, rows // each).bit_length()
+
+
 def running_start(df: DataFrame, group: list[str], bucket: str, order: list, size, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``size`` over the rows of the same group that come earlier by (bucket, order).
 

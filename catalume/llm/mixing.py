@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalume.llm.common import WORD, Scratch, fresh, load, running_start, scramble, slices, source_key, task_count
+from catalume.llm.common import WORD, Scratch, fresh, load, lots, running_start, scramble, slices, source_key, task_count
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -111,8 +111,9 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 16, seed: int = 11, **ho
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", text).alias("_draw"),
     )
-    rows = scratch.save(rows, "sizes").withColumn("_lot", F.shiftright("_draw", 56))
-    found = rows.groupBy("source", "_source").agg(F.sum("size").alias("n")).collect()  # one row for each source
+    rows = scratch.save(rows, "sizes")
+    found = rows.groupBy("source", "_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row for each source
+    rows = rows.withColumn("_lot", F.shiftright("_draw", 65 - lots(sum(r["rows"] for r in found)).bit_length()))
     wanted = targets([(r["source"], r["n"]) for r in found], **how)
     plan, goal = [], []
     for r in sorted(found, key=lambda r: (r["source"] is None, r["source"] or "")):

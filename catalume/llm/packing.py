@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalume.llm.common import Scratch, load, running_start, slices
+from catalume.llm.common import Scratch, load, lots, running_start, slices
 from catalume.llm.tokens import crc32, encoder, vocabulary_path
 
 
@@ -164,7 +164,7 @@ def pack(found: DataFrame, length: int, unit: int) -> DataFrame:
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "_place"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(place)], names)
 
-    ranked = found.withColumn("_lot", F.shiftright("_draw", 57))
+    ranked = found.withColumn("_lot", F.shiftright("_draw", 65 - lots(sum(histogram.values()), least=128).bit_length()))
     ranked = running_start(ranked, ["_class"], "_lot", ["_draw", "doc_id", "start"], F.lit(1).cast("long"), "_rank")
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, _place long"
     placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_class", "_rank").mapInArrow(task, fields)

@@ -4,7 +4,8 @@ Within each source the rows are shuffled by a seeded hash and ranked; a row's pl
 (rank - 0.5) / (rows of the source). Sorting all rows by that fraction interleaves the sources evenly, so any contiguous
 cut has the mixture of the whole. Law ``rows``: shard sizes differ by one row at most.
 
-No source is sorted in one task: both rankings run inside hash or fraction buckets, and bucket totals carry the ranks.
+No source is sorted in one task: both rankings run inside hash or fraction buckets, whose number follows the rows, and bucket
+totals carry the ranks.
 
 Defined results: null texts have size 1 and the checksum of no bytes; null sources form a source of their own; groups of
 equal texts are spread like other rows, as the law counts rows; a null doc_id is placed like any other; rows that are equal
@@ -17,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import load, running_start, source_key
+from catalume.llm.common import load, lots, running_start, source_key
 
 
-def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, buckets: int = 256) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of ``docs`` (doc_id, text, source)."""
+    buckets = buckets or lots(docs.count())
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
