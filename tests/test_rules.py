@@ -333,11 +333,26 @@ def test_audit(spark):
     flagged = spark.createDataFrame([(1, ["alias-wrong"], "tv", "Show", 1, "show", ["show-phan-2"]), (2, ["orphan"], "tv", "Gone", 1, "gone", []), (3, ["slug-season"], "tv", "Slug", 2, "slug-phan-3", [])], "id long, codes array<string>, media_type string, title string, season int, slug string, aliases array<string>")
     siblings = spark.createDataFrame([(7, "tv", "Show Season 2", 2), (1, "tv", "Show", 1)], "id long, media_type string, title string, season int")
     assert sorted((r.id, r.type, r.target) for r in audit.proposals(flagged, siblings).collect()) == [(1, "fix_alias", "7"), (2, "hide_row", None), (3, "rename_slug", "slug-phan-2")]
-    group = spark.createDataFrame([(1, 10, 1, 5, True, 2, 2), (1, 11, 2, 5, False, 0, 2), (1, 12, 2, None, False, 1, 0), (2, 20, 1, None, False, 1, 0)], "grp long, id long, season int, tmdb_id long, inferred boolean, sources int, support int")
-    actions = spark.createDataFrame([(1, 0, "hide_row", 11, None, None), (1, 1, "set_season", 10, None, 2), (1, 2, "merge_rows", 10, 12, None), (1, 3, "hide_row", 12, None, None), (1, 4, "report", 10, None, None), (2, 0, "hide_row", 20, None, None), (2, 1, "hide_row", 20, None, None)], "grp long, pos long, type string, id long, target long, season int")
+    live = lambda i, season=None, strength=0, tmdb=None: (i, True, season, strength, False, tmdb)
+    fields = "grp long, id long, media_type string, base string, slug string, season int, title_season int, slug_season int, tmdb_id long, imdb string, year int, inferred boolean, aliases array<struct<slug:string,season:int>>, sources array<struct<id:long,available:boolean,season:int,strength:int,conflict:boolean,tmdb_id:long>>"
+    group = spark.createDataFrame(
+        [
+            (1, 10, "tv", "show", "show-phan-3", 1, 2, 3, 5, None, 2000, True, [("show-phan-2-old", 2)], [live(100, 2, 2), live(101, 4, 2), live(102)]), (1, 11, "tv", "show", "gone", None, None, None, None, None, None, False, [], []),
+            (1, 12, "tv", "show", "show-phan-4", 4, None, 4, None, None, 2001, False, [], [live(103)]), (1, 13, "tv", "show", "show-x", 4, None, None, 6, None, 2001, False, [], [live(104)]),
+            (2, 20, "movie", "film", "film", None, None, None, 9, None, 2000, True, [], [live(200, None, 0, 8)]),
+        ],
+        fields,
+    )
+    plan = [
+        (1, 0, "hide_row", 11, None, None, None, None), (1, 1, "merge_rows", 12, 13, None, None, None), (1, 2, "move_source", None, None, None, 101, None), (1, 3, "set_season", 10, None, 2, None, None),
+        (1, 4, "report", 10, None, None, None, None), (1, 5, "rename_slug", 10, None, None, None, None), (1, 6, "fix_alias", None, 13, None, None, "show-phan-2-old"), (1, 7, "hide_row", 13, None, None, None, None),
+        (2, 0, "clear_tmdb", 20, None, None, None, None), (2, 1, "clear_tmdb", 20, None, None, None, None), (2, 2, "hide_row", 20, None, None, None, None),
+    ]
+    actions = spark.createDataFrame(plan, "grp long, pos long, type string, id long, target long, season int, source long, slug string")
     got = {(r.grp, r.pos): (r.ok, r.gate) for r in audit.gate_proposals(group, actions).collect()}
     assert got == {
-        (1, 0): (True, None), (1, 1): (True, None), (1, 2): (True, None), (1, 3): (False, "unknown-row"), (1, 4): (False, "earlier-action-failed"), (2, 0): (False, "has-available-source"), (2, 1): (False, "earlier-action-failed"),
+        (1, 0): (True, None), (1, 1): (True, None), (1, 2): (True, None), (1, 3): (True, None), (1, 4): (False, "report-only"), (1, 5): (True, None), (1, 6): (False, "alias-agrees"), (1, 7): (False, "earlier-action-failed"),
+        (2, 0): (True, None), (2, 1): (False, "no-tmdb-id"), (2, 2): (False, "earlier-action-failed"),
     }
     table = spark.createDataFrame([(1, "a", "ready", 1), (2, "b", "ready", 2)], "id long, slug string, state string, season int")
     after, log = audit.apply_actions(table, spark.createDataFrame([(1, "rename_slug", "z"), (1, "set_season", "3"), (2, "report", None)], "id long, type string, value string"))
