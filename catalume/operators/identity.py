@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalume.functions.text import declared_seasons, first_integer, marked_season, season_in_slug, season_of
+from catalume.functions.text import declared_seasons, first_integer, marked_season, season_in_slug, season_of, slugs_agree
+from catalume.operators.match import fuzzy_match
 
 CLAIM = "struct<provider:string,tmdb_id:bigint,media:string,season:int,imdb:string>"
 
@@ -232,3 +233,53 @@ def identity_plan(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         F.when(blocked.isNotNull(), blocked).when(action == "noop", "already-assigned").when(merges, F.concat(F.lit("survivor:"), why)).alias("reason"),
         F.when(merges & ~keeps, holder["id"]).otherwise(F.col("id")).alias("survivor"), F.when(merges, F.when(keeps, holder["id"]).otherwise(F.col("id"))).alias("dropped"),
     )
+
+
+def find_rows(incoming: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rec, id, rule: the row each incoming record belongs to, by the first of seven rules that finds one: its source (1), its id
+    tuple (2), IMDb id and type (3), for provider a the original title with the season it names (4), original title (5), title (6),
+    similar title (7). A row whose season or ids contradict the record is passed over by rule 3 and refused after rules 4 to 7.
+
+    incoming: rec, provider, provider_id, slug, raw_title, media_type, tmdb_id, tmdb_media, tmdb_season, season, imdb, year, original,
+    title (both normalised), episodes; rows: id, created, state, slug, media_type, tmdb_id, tmdb_media, tmdb_season, season, imdb,
+    year, original, title, episodes; sources: provider, provider_id, id.
+    """
+    sides = ("media_type", "tmdb_id", "tmdb_media", "season", "tmdb_season")
+    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in sides])
+    clash = identity_conflict(side("r"), side("i"))
+    i, r = incoming.alias("i"), rows.alias("r")
+    eq = lambda *names: [F.col(f"i.{n}") == F.col(f"r.{n}") for n in names]
+
+    def met(on: list, order: list, keep=None, only: bool = False) -> DataFrame:
+        """The first row by ``order`` for each record (``only``: if it is the only one)."""
+        test = on[0]
+        for more in on[1:]:
+            test = test & more
+        found = i.join(r, test)
+        found = found if keep is None else found.where(keep)
+        best = found.groupBy("i.rec").agg(F.min_by(F.col("r.id"), F.struct(*order)).alias("id"), F.count("*").alias("n"))
+        return (best.where("n = 1") if only else best).select("rec", "id")
+
+    oldest = [F.col("r.created"), F.col("r.id")]
+    no_season, dated = F.col("r.tmdb_season").isNull(), eq("year", "media_type")
+    named = F.coalesce(marked_season(F.col("i.raw_title"), F.col("i.slug")), F.lit(1)) == F.col("r.tmdb_season")
+    lone = met([*eq("original"), *dated, named], oldest, (F.col("i.provider") == "a") & (F.col("r.state") == "ready"), only=True)
+    agreeing = lone.join(incoming.select("rec", F.col("slug").alias("_s"), F.col("episodes").alias("_e")), "rec").join(rows.select("id", "slug", "episodes"), "id")
+    compatible = F.coalesce((F.least("_e", "episodes") <= 0) | (F.greatest("_e", "episodes") / F.least("_e", "episodes") <= 1.5), F.lit(True))
+    words = lambda df: df.withColumn("_o", F.split("original", " ")).withColumn("_w", F.split("title", " "))
+    alike = fuzzy_match(words(incoming.select("rec", "year", "media_type", "original", "title")), words(rows.where("tmdb_season is null").select("id", "created", "year", "media_type", "original", "title")), ["year", "media_type"], ["_o", "_w"], 0.96, ["created", "id"])
+    rules = [
+        incoming.join(sources, ["provider", "provider_id"]).select("rec", "id"),
+        met([*eq("tmdb_id", "tmdb_media"), F.col("i.tmdb_season").eqNullSafe(F.col("r.tmdb_season"))], oldest),
+        met(eq("imdb", "media_type"), [F.coalesce("r.tmdb_season", F.lit(-1)), *oldest], clash.isNull()),
+        agreeing.where(slugs_agree(F.col("_s"), F.col("slug")) & compatible).select("rec", "id"),
+        met([*eq("original"), *dated], oldest, no_season & (F.col("i.original") != "")),
+        met([*eq("title"), *dated], oldest, no_season & (F.col("i.title") != "")),
+        alike.select("rec", F.col("r_id").alias("id")),
+    ]
+    tagged = rules[0].withColumn("rule", F.lit(1))
+    for n, rule in enumerate(rules[1:], 2):
+        tagged = tagged.unionByName(rule.withColumn("rule", F.lit(n)))
+    first = tagged.groupBy("rec").agg(F.min(F.struct("rule", "id")).alias("f")).select("rec", "f.*")
+    judged = first.alias("f").join(i, F.col("f.rec") == F.col("i.rec")).join(r, F.col("f.id") == F.col("r.id"))
+    return judged.where((F.col("f.rule") <= 3) | clash.isNull()).select("f.rec", "f.id", "f.rule")

@@ -369,3 +369,29 @@ def test_audit(spark):
     assert counts.count() == 2 and sample.count() == 4
     metrics = audit.repair_metrics(table, spark.createDataFrame([(1, 1, True), (1, 2, False)], "row_id long, season int, available boolean")).first()
     assert (metrics["rows"], metrics.sources, metrics.without_source, metrics.without_live_source, metrics.of_several_seasons, metrics.without_season) == (2, 2, 1, 1, 1, 0)
+
+
+def test_find_rows(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    fields = "id long, created timestamp, state string, slug string, media_type string, tmdb_id long, tmdb_media string, tmdb_season int, season int, imdb string, year int, original string, title string, episodes int"
+    rows = spark.createDataFrame(
+        [
+            (1, day(1), "ready", "one", "tv", 5, "tv", 1, 1, "tt1", 2000, "one", "mot", 10), (2, day(2), "ready", "one-phan-2", "tv", 5, "tv", 2, 2, "tt1", 2002, "one", "mot", 12),
+            (3, day(3), "ready", "film", "movie", None, None, None, None, None, 2010, "the film of all", "phim", None), (4, day(4), "ready", "film-b", "movie", None, None, None, None, None, 2010, "other", "phim hay nhat", None),
+            (5, day(5), "ready", "show-phan-3", "tv", None, None, None, 3, None, 2015, "show", "show x", None),
+        ],
+        fields,
+    )
+    names = "rec string, provider string, provider_id string, slug string, raw_title string, media_type string, tmdb_id long, tmdb_media string, tmdb_season int, season int, imdb string, year int, original string, title string, episodes int"
+    incoming = spark.createDataFrame(
+        [
+            ("source", "b", "7", "x", "x", "tv", None, None, None, None, None, 1990, "", "x", None), ("tuple", "b", "8", "x", "x", "tv", 5, "tv", 2, 2, None, 1990, "", "x", None),
+            ("imdb", "b", "9", "x", "x", "tv", None, None, None, 2, "tt1", 1990, "", "x", None), ("season", "a", "1", "one-phan-2", "One", "tv", None, None, None, None, None, 2002, "one", "y", 13),
+            ("apart", "a", "2", "else-phan-2", "Else", "tv", None, None, None, None, None, 2002, "one", "y", 13), ("original", "b", "3", "x", "x", "movie", None, None, None, None, None, 2010, "other", "q", None),
+            ("title", "b", "4", "x", "x", "movie", None, None, None, None, None, 2010, "", "phim", None), ("alike", "b", "5", "x", "x", "movie", None, None, None, None, None, 2010, "film the of all", "q", None),
+            ("refused", "b", "6", "x", "x", "tv", None, None, None, 4, None, 2015, "show", "q", None),
+        ],
+        names,
+    )
+    got = {r.rec: (r.id, r.rule) for r in identity.find_rows(incoming, rows, spark.createDataFrame([("b", "7", 4)], "provider string, provider_id string, id long")).collect()}
+    assert got == {"source": (4, 1), "tuple": (2, 2), "imdb": (2, 3), "season": (2, 4), "original": (4, 5), "title": (3, 6), "alike": (3, 7)}
