@@ -59,13 +59,13 @@ def spotlight(cards: DataFrame, trending: DataFrame, year_now: int, limit: int =
 
 
 def replay(cases: DataFrame, policies: list[tuple[str, float, int]], truth: str = "truth") -> DataFrame:
-    """policy, n, accepted, right, precision, recall, lo, hi: what each policy (name, least score, least lead over the second) would have
+    """policy, n, accepted, correct, precision, recall, lo, hi: what each policy (name, least score, least lead over the second) would have
     made of cases (id, best, score, lead, truth). Cases are read once; a policy is one entry of an array.
     """
     rules = F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(float(s)).alias("least"), F.lit(m).alias("lead")) for n, s, m in policies])
     each = cases.withColumn("_p", F.explode(rules))
     taken = (F.col("score") >= F.col("_p.least")) & (F.col("lead") >= F.col("_p.lead"))
-    per = each.groupBy(F.col("_p.policy").alias("policy")).agg(F.count("*").alias("n"), F.count_if(taken).alias("accepted"), F.count_if(taken & (F.col("best") == F.col(truth))).alias("right"))
-    lo, hi = (F.round(wilson(F.col("right"), F.col("accepted").cast("double"), up), 6) for up in (False, True))
-    share = lambda n: F.when(F.col(n) > 0, F.round(F.col("right") / F.col(n), 6))
-    return per.select("policy", "n", "accepted", "right", share("accepted").alias("precision"), share("n").alias("recall"), lo.alias("lo"), hi.alias("hi"))
+    per = each.groupBy(F.col("_p.policy").alias("policy")).agg(F.count("*").alias("n"), F.count_if(taken).alias("accepted"), F.count_if(taken & (F.col("best") == F.col(truth))).alias("correct"))
+    lo, hi = (F.round(wilson(F.col("correct"), F.col("accepted").cast("double"), up), 6) for up in (False, True))
+    share = lambda n: F.when(F.col(n) > 0, F.round(F.col("correct") / F.col(n), 6))
+    return per.select("policy", "n", "accepted", "correct", share("accepted").alias("precision"), share("n").alias("recall"), lo.alias("lo"), hi.alias("hi"))

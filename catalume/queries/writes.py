@@ -50,16 +50,16 @@ def review_score(t):
     return rows.select("doc_id", s.review_score(rating, F.col("text"), created, now).alias("score"))
 
 
-@query("""WITH st AS (SELECT user_id, event_id % 50 AS item, min(ts) AS "at" FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+@query("""WITH st AS (SELECT user_id, event_id % 50 AS item, min(ts) AS saved_at FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
 nw AS (SELECT DISTINCT user_id, event_id % 50 AS item FROM events WHERE event_type = 'click' AND (event_id % 50) % 7 <> 0),
 al AS (SELECT * FROM st UNION ALL SELECT user_id, item, TIMESTAMP '2024-01-31' FROM nw ANTI JOIN st USING (user_id, item))
-SELECT user_id, item, "at", (row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, item))::INT AS place FROM al QUALIFY place <= 5""")
+SELECT user_id, item, saved_at, (row_number() OVER (PARTITION BY user_id ORDER BY saved_at DESC, item))::INT AS place FROM al QUALIFY place <= 5""")
 def favorites(t):
     rows = t.events.withColumn("item", F.col("event_id") % 50)
     stored = rows.where("event_id % 3 = 0").groupBy("user_id", "item").agg(F.min("ts").alias("at"))
     ready = rows.select("item").distinct().where("item % 7 <> 0")
     now = F.lit("2024-01-31").cast("timestamp_ntz")
-    return writes.newest(writes.add_favorites(stored, rows.where("event_type = 'click'"), ready, now), "user_id", "at", 5, "item")
+    return writes.newest(writes.add_favorites(stored, rows.where("event_type = 'click'"), ready, now), "user_id", "at", 5, "item").withColumnRenamed("at", "saved_at")
 
 
 HOST = "split_part(split_part({}, '//', 2), '/', 1)"
@@ -235,19 +235,19 @@ def capped_assign(t):
 
 
 @query("""WITH m AS (SELECT DISTINCT user_id AS d, user_id - 1 AS k FROM events WHERE user_id % 10 = 5), e AS (SELECT coalesce(k, user_id) AS row_id, event_id, event_type, value, ts FROM events LEFT JOIN m ON d = user_id)
-SELECT row_id, event_type AS item, max(ts) AS "at", arg_max(value, (ts, event_id)) AS value FROM e GROUP BY ALL""")
+SELECT row_id, event_type AS item, max(ts) AS seen_at, arg_max(value, (ts, event_id)) AS value FROM e GROUP BY ALL""")
 def merge_children(t):
     rows = t.events.select(F.col("user_id").alias("row_id"), F.col("event_type").alias("item"), F.col("ts").alias("at"), "value", "event_id")
     mapping = t.events.where("user_id % 10 = 5").select(F.col("user_id").alias("dropped"), (F.col("user_id") - 1).alias("kept")).distinct()
     out = writes.merge_children({"history": rows}, mapping, {"history": (["item"], F.struct("at", "event_id"))})
-    return out["history"].select("row_id", "item", "at", "value")
+    return out["history"].select("row_id", "item", F.col("at").alias("seen_at"), "value")
 
 
 @query("""WITH c AS (SELECT p_partkey, p_size % 5 AS best, p_partkey % 5 AS truth, p_retailprice / 1000 AS score, p_size % 4 AS lead FROM part),
 q AS (SELECT * FROM (VALUES ('strict', 0.98, 3), ('default', 0.95, 1), ('loose', 0.0, 0)) AS v(policy, s, m)),
-r AS (SELECT policy, count(*) AS n, count(*) FILTER (score >= s AND lead >= m) AS accepted, count(*) FILTER (score >= s AND lead >= m AND best = truth) AS "right" FROM c, q GROUP BY 1),
-w AS (SELECT *, "right" / accepted AS f, accepted::DOUBLE AS a FROM r)
-SELECT policy, n, accepted, "right", round(f, 6) AS precision, round("right" / n, 6) AS recall,
+r AS (SELECT policy, count(*) AS n, count(*) FILTER (score >= s AND lead >= m) AS accepted, count(*) FILTER (score >= s AND lead >= m AND best = truth) AS correct FROM c, q GROUP BY 1),
+w AS (SELECT *, correct / accepted AS f, accepted::DOUBLE AS a FROM r)
+SELECT policy, n, accepted, correct, round(f, 6) AS precision, round(correct / n, 6) AS recall,
 round((f + 3.8416 / (2 * a) - 1.96 * sqrt(f * (1 - f) / a + 3.8416 / (4 * a * a))) / (1 + 3.8416 / a), 6) AS lo,
 round((f + 3.8416 / (2 * a) + 1.96 * sqrt(f * (1 - f) / a + 3.8416 / (4 * a * a))) / (1 + 3.8416 / a), 6) AS hi FROM w""")
 def policy_replay(t):
