@@ -28,7 +28,7 @@ class Encoder(dict):
     Latin letters, with or without marks at its end, needs no pre-tokeniser: the library's model gets the lower-cased letters.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
