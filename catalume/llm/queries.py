@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalume.llm.binary_tokens import op9_binary_tokens
+from catalume.llm.divergence import OP12_SQL, op12_source_divergence
 from catalume.llm.fingerprints import op2_weighted_fingerprints
 from catalume.llm.line_dedup import OP5_SQL, op5_line_dedup
 from catalume.llm.mixing import op10_source_mixing
@@ -12,6 +13,7 @@ from catalume.llm.quality import OP8_SQL, op8_quality_rules
 from catalume.llm.sharding import op7_stratified_sharding
 from catalume.llm.toxicity import op4_toxicity
 from catalume.llm.tree_scoring import op3_context_tree_scoring
+from catalume.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -26,7 +28,9 @@ QUERIES = {
         op8_quality_rules,
         op9_binary_tokens,
         op10_source_mixing,
+        op11_vector_codes,
+        op12_source_divergence,
     )
 }
 
-SQL = {"op5_line_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}
+SQL = {"op5_line_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_source_divergence": OP12_SQL}
