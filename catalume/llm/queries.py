@@ -11,6 +11,7 @@ from catalume.llm.ngram_join import op1_ngram_jaccard_join
 from catalume.llm.packing import op6_packing
 from catalume.llm.quality import OP8_SQL, op8_quality_rules
 from catalume.llm.sharding import op7_stratified_sharding
+from catalume.llm.substrings import op13_substring_dedup
 from catalume.llm.toxicity import op4_toxicity
 from catalume.llm.tree_scoring import op3_context_tree_scoring
 from catalume.llm.vector_codes import OP11_SQL, op11_vector_codes
@@ -30,6 +31,7 @@ QUERIES = {
         op10_source_mixing,
         op11_vector_codes,
         op12_source_divergence,
+        op13_substring_dedup,
     )
 }
 
