@@ -58,28 +58,28 @@ def differs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return gap * gap // q
 
 
-def counted(docs: DataFrame, limit: int = 400_000) -> DataFrame:
+ONCE = 1 << 40  # a document more, above the occurrences
+
+
+def counted(docs: DataFrame, limit: int = 800_000) -> DataFrame:
     """lang, source, term, n (occurrences), docs: sums over what a task holds until it has ``limit`` of them."""
 
     def rows(held: dict):
-        found = [(lang, source, term, n, d) for (lang, source), own in held.items() for term, (n, d) in own.items()]
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        for i in range(0, len(found), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found[i : i + 50_000], strict=True), kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+        for (lang, source), own in held.items():
+            found, sums = list(own), np.fromiter(own.values(), np.int64, len(own))
+            for i in range(0, len(found), 50_000):
+                part = sums[i : i + 50_000]
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(part)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(found[i : i + 50_000], pa.binary()), pa.array(part % ONCE), pa.array(part // ONCE)], ["lang", "source", "term", "n", "docs"])
 
     def task(batches):
         held, size = {}, 0
         for batch in slices(batches, 4 << 20):
             for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
                 own = held.setdefault((lang, source), {})
-                before = len(own)
+                before, known = len(own), own.get
                 for term, n in Counter(terms(text)).items():
-                    seen = own.get(term)
-                    if seen is None:
-                        own[term] = [n, 1]
-                    else:
-                        seen[0] += n
-                        seen[1] += 1
+                    own[term] = known(term, 0) + n + ONCE
                 size += len(own) - before
                 if size >= limit:
                     yield from rows(held)
@@ -180,6 +180,9 @@ def marking_terms(blocks: DataFrame, lots: DataFrame, top: int) -> DataFrame:
                     base = q[member.at]
                     above = np.flatnonzero(member.share > base)
                     values = differs(member.share[above], base[above])
+                    if len(values) > top:  # those that may be among the first, with their ties
+                        some = values >= np.partition(values, len(values) - top)[len(values) - top]
+                        above, values = above[some], values[some]
                     found = zip((-values).tolist(), (words[i][int(k)].as_py() for k in member.at[above]), strict=True)
                     for value, term in heapq.nsmallest(top, found):
                         out[0].append(member.source)
