@@ -17,8 +17,9 @@ def _halves(t):
     return rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1")
 
 
-@query(f"""SELECT a.p_partkey, b.p_partkey AS r_p_partkey, round({DICE}, 6) AS score FROM {PART} a JOIN {PART} b ON a.p_size = b.p_size
-WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND {DICE} >= 0.96
+@query(f"""SELECT a.p_partkey, b.p_partkey AS r_p_partkey, round({DICE}, 6) AS score FROM {PART} a JOIN (
+SELECT * FROM {PART} WHERE p_partkey % 2 = 1 QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) <= 100) b ON a.p_size = b.p_size
+WHERE a.p_partkey % 2 = 0 AND {DICE} >= 0.96
 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) = 1""")
 def fuzzy_match(t):
     left, right = _halves(t)

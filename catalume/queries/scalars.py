@@ -129,7 +129,7 @@ def json_path(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.map_contains_key(props, "missing").alias("has"))
 
 
-@query("""SELECT event_id, epoch_us(ts) // 1000 AS ms, ts::DATE AS day, epoch(ts)::BIGINT - ((epoch(ts)::BIGINT - (3 * 86400 + 9 * 3600 - 25200)) % 604800 + 604800) % 604800 AS slot FROM events""")
+@query("""SELECT event_id, epoch_us(ts) // 1000 AS ms, ts::DATE AS day, floor(epoch(ts))::BIGINT - ((floor(epoch(ts))::BIGINT - (3 * 86400 + 9 * 3600 - 25200)) % 604800 + 604800) % 604800 AS slot FROM events""")
 def time_parts(t):
     ts = F.col("ts").cast("timestamp")
     return t.events.select("event_id", F.unix_millis(ts).alias("ms"), F.to_date("ts").alias("day"), s.weekly_slot(ts, 0, 9).alias("slot"))

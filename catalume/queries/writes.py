@@ -212,7 +212,7 @@ def nested_first(t):
     return first.select("conv_id", "role", "turn", F.row_number().over(w).alias("place")).where("place <= 2")
 
 
-@query(f"""SELECT page_id, CASE WHEN starts_with(u, 'https://') AND ({HOST.format('u')} LIKE '%.example.com' OR {HOST.format('u')} LIKE '%.example.org') AND NOT {HOST.format('u')} LIKE 'spam-farm.%'
+@query(f"""SELECT page_id, CASE WHEN starts_with(u, 'https://') AND ({HOST.format('u')} LIKE '%.example.com' OR {HOST.format('u')} LIKE '%.example.org') AND NOT regexp_matches({HOST.format('u')}, '(^|[.])spam-farm[.]example[.](com|org)$')
 AND NOT regexp_matches(u, '^https://[^/]*/?$') THEN regexp_replace(u, '#.*$', '') END AS image FROM (
 SELECT page_id, CASE WHEN page_id % 10 = 0 THEN regexp_extract(url, '^[a-z]+://[^/]*/') ELSE url END AS u FROM pages)""")
 def url_path(t):
