@@ -130,11 +130,15 @@ def provider_decision(row: Column, claims: Column) -> Column:
     ladder = ladder.when(same, F.when(support < 2, queue("season-single-dissent")).otherwise(write("season", "season-agree", season)))
     ladder = ladder.when(pinned, verdict("blocked", None, "pinned")).when(~agreed, verdict("queue", None, "single-vs-existing"))
     ladder = ladder.otherwise(write("overwrite", "providers-agree", season, tv & season.isNull()))
-    writes = ladder["action"].isin("assign", "resolve-season")
-    return F.struct(
-        ladder["action"].alias("action"), ladder["tier"].alias("tier"), ladder["reason"].alias("reason"),
-        F.when(writes, number).alias("tmdb_id"), F.when(writes, media).alias("media"), ladder["season"].alias("season"), imdb.alias("imdb_action"),
-    )
+
+    def named_fields(found: Column) -> Column:
+        writes = found["action"].isin("assign", "resolve-season")
+        return F.struct(
+            found["action"].alias("action"), found["tier"].alias("tier"), found["reason"].alias("reason"),
+            F.when(writes, number).alias("tmdb_id"), F.when(writes, media).alias("media"), found["season"].alias("season"), imdb.alias("imdb_action"),
+        )
+
+    return F.transform(F.array(ladder), named_fields)[0]  # the ladder is climbed once
 
 
 def review_key(claims: Column, row: Column, settings: Column) -> Column:
@@ -204,11 +208,13 @@ def merge_guard(a: Column, b: Column) -> Column:
 
 
 def identity_plan(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, action (noop, assign, merge, blocked), reason, survivor, dropped for ``wanted`` (id, tmdb_id, media, season).
+    """id, action (noop, assign, merge, blocked), reason, survivor, dropped for ``wanted`` (id, tmdb_id, media, season and, where a row may
+    lose another identity, ``replace``).
 
     rows: id, state, tmdb_id, media, season, imdb, year, title, slug, pinned, providers (array), filled (count of set fields), created.
     Holders of a tuple meet by its key, so a tuple that many rows hold is counted, not multiplied.
     """
+    replace = F.coalesce("replace", F.lit(False)) if "replace" in wanted.columns else F.lit(False)
     key = F.concat_ws(":", "media", F.col("tmdb_id").cast("string"), F.when(F.col("media") == "tv", F.coalesce(F.col("season").cast("string"), F.lit(""))).otherwise(""))
     row = F.struct(*[F.col(c) for c in rows.columns])
     held = rows.where("tmdb_id is not null").groupBy(key.alias("_key")).agg(F.count("*").alias("_n"), F.min_by(row, F.col("id")).alias("_a"), F.max_by(row, F.col("id")).alias("_b"))
@@ -223,7 +229,7 @@ def identity_plan(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     why = F.when(F.size(t["providers"]) != F.size(holder["providers"]), "more-providers").when(kk(t) != kk(holder), "has-kkphim").when(t["filled"] != holder["filled"], "fuller-metadata").otherwise("oldest-row")
     blocked = (
         F.when(t.isNull(), "row-missing").when(t["state"] != "ready", "not-ready").when(own, F.lit(None).cast("string")).when(t["pinned"], "pinned")
-        .when(t["tmdb_id"].isNotNull(), "row-has-other-identity").when(F.col("_n") > 1, "multiple-holders").when(F.col("_n").isNull(), F.lit(None).cast("string"))
+        .when(t["tmdb_id"].isNotNull() & ~replace, "row-has-other-identity").when(F.col("_n") > 1, "multiple-holders").when(F.col("_n").isNull(), F.lit(None).cast("string"))
         .when(holder["state"] != "ready", "holder-not-ready").when(merge_guard(t, holder).isNotNull(), merge_guard(t, holder)).when(holder["pinned"], "holder-pinned")
     )
     action = F.when(blocked.isNotNull(), "blocked").when(own, "noop").when(F.col("_n").isNull(), "assign").otherwise("merge")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.functions.scalars import dice
+from catalume.operators.tables import cut
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: list[str], least: float, order: list[str], oldest: int = 100) -> DataFrame:
@@ -148,21 +146,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, label: the smallest node reachable over undirected ``edges``. All nodes of one label take the smallest label next to
     any of them, labels then jump along themselves, and this goes on until nothing changes; each round is checkpointed in
     spark.checkpoint.dir."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("node"), "label").checkpoint()
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("node"), "label"))
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         hook = step.groupBy("old").agg(F.min("label").alias("hook"))
-        step = step.join(hook, "old").select("node", F.least("label", "hook").alias("label"), "old").checkpoint()
+        step = cut(step.join(hook, "old").select("node", F.least("label", "hook").alias("label"), "old"))
         jump = step.select(F.col("node").alias("j"), F.col("label").alias("to"))
-        fresh = step.join(jump, F.col("label") == F.col("j"), "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), "old").checkpoint()
+        fresh = cut(step.join(jump, F.col("label") == F.col("j"), "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), "old"))
         labels = fresh.select("node", "label")
         if fresh.where("label != old").limit(1).count() == 0:
             return labels
