@@ -241,51 +241,52 @@ def identity_plan(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _row_keys(media_type: Column, tmdb_id: Column, media: Column, season: Column, imdb: Column, year: Column, original: Column, title: Column) -> list[Column]:
+    """The keys of rules 2 to 6, as structs of rule and key; null where a side has none."""
+    text = lambda *parts: F.concat_ws("|", *[p.cast("string") for p in parts])
+    dated = lambda name: F.when(year.isNotNull() & name.isNotNull() & (name != ""), text(name, year, media_type))
+    made = {2: F.when(tmdb_id.isNotNull(), text(media, tmdb_id, F.coalesce(season, F.lit(-1)))), 3: F.when(imdb.isNotNull(), text(imdb, media_type)), 4: dated(original), 5: dated(original), 6: dated(title)}
+    return [F.when(key.isNotNull(), F.struct(F.lit(rule).alias("rule"), key.alias("key"))) for rule, key in made.items()]
+
+
 def find_rows(incoming: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rec, id, rule: the row each incoming record belongs to, by the first of seven rules that finds one: its source (1), its id
     tuple (2), IMDb id and type (3), for provider a the original title with the season it names (4), original title (5), title (6),
     similar title (7). A row whose season or ids contradict the record is passed over by rule 3 and refused after rules 4 to 7.
 
     incoming: rec, provider, provider_id, slug, raw_title, media_type, tmdb_id, tmdb_media, tmdb_season, season, imdb, year, original,
-    title (both normalised), episodes; rows: id, created, state, slug, media_type, tmdb_id, tmdb_media, tmdb_season, season, imdb,
-    year, original, title, episodes; sources: provider, provider_id, id.
+    title (both normalised), episodes; sources: provider, provider_id, id and perhaps provider_slug, which counts after the id; rows:
+    id, created, state, slug, media_type, tmdb_id, tmdb_media, tmdb_season, season, imdb, year, original, title, episodes.
+
+    Rules 1 to 6 are one join: each side lists its keys with the rule they are for.
     """
     sides = ("media_type", "tmdb_id", "tmdb_media", "season", "tmdb_season")
-    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in sides])
-    clash = identity_conflict(side("r"), side("i"))
-    i, r = incoming.alias("i"), rows.alias("r")
-    eq = lambda *names: [F.col(f"i.{n}") == F.col(f"r.{n}") for n in names]
-
-    def met(on: list, order: list, keep=None, only: bool = False) -> DataFrame:
-        """The first row by ``order`` for each record (``only``: if it is the only one)."""
-        test = on[0]
-        for more in on[1:]:
-            test = test & more
-        found = i.join(r, test)
-        found = found if keep is None else found.where(keep)
-        best = found.groupBy("i.rec").agg(F.min_by(F.col("r.id"), F.struct(*order)).alias("id"), F.count("*").alias("n"))
-        return (best.where("n = 1") if only else best).select("rec", "id")
-
-    oldest = [F.col("r.created"), F.col("r.id")]
-    no_season, dated = F.col("r.tmdb_season").isNull(), eq("year", "media_type")
-    named = F.coalesce(marked_season(F.col("i.raw_title"), F.col("i.slug")), F.lit(1)) == F.col("r.tmdb_season")
-    lone = met([*eq("original"), *dated, named], oldest, (F.col("i.provider") == "a") & (F.col("r.state") == "ready"), only=True)
-    agreeing = lone.join(incoming.select("rec", F.col("slug").alias("_s"), F.col("episodes").alias("_e")), "rec").join(rows.select("id", "slug", "episodes"), "id")
-    compatible = F.coalesce((F.least("_e", "episodes") <= 0) | (F.greatest("_e", "episodes") / F.least("_e", "episodes") <= 1.5), F.lit(True))
-    words = lambda df: df.withColumn("_o", F.split("original", " ")).withColumn("_w", F.split("title", " "))
-    alike = fuzzy_match(words(incoming.select("rec", "year", "media_type", "original", "title")), words(rows.where("tmdb_season is null").select("id", "created", "year", "media_type", "original", "title")), ["year", "media_type"], ["_o", "_w"], 0.96, ["created", "id"])
-    rules = [
-        incoming.join(sources, ["provider", "provider_id"]).select("rec", "id"),
-        met([*eq("tmdb_id", "tmdb_media"), F.col("i.tmdb_season").eqNullSafe(F.col("r.tmdb_season"))], oldest),
-        met(eq("imdb", "media_type"), [F.coalesce("r.tmdb_season", F.lit(-1)), *oldest], clash.isNull()),
-        agreeing.where(slugs_agree(F.col("_s"), F.col("slug")) & compatible).select("rec", "id"),
-        met([*eq("original"), *dated], oldest, no_season & (F.col("i.original") != "")),
-        met([*eq("title"), *dated], oldest, no_season & (F.col("i.title") != "")),
-        alike.select("rec", F.col("r_id").alias("id")),
-    ]
-    tagged = rules[0].withColumn("rule", F.lit(1))
-    for n, rule in enumerate(rules[1:], 2):
-        tagged = tagged.unionByName(rule.withColumn("rule", F.lit(n)))
-    first = tagged.groupBy("rec").agg(F.min(F.struct("rule", "id")).alias("f")).select("rec", "f.*")
-    judged = first.alias("f").join(i, F.col("f.rec") == F.col("i.rec")).join(r, F.col("f.id") == F.col("r.id"))
-    return judged.where((F.col("f.rule") <= 3) | clash.isNull()).select("f.rec", "f.id", "f.rule")
+    rest = (*sides, "slug", "episodes")
+    own = [F.col(c) for c in ("media_type", "tmdb_id", "tmdb_media", "tmdb_season", "imdb", "year", "original", "title")]
+    source = lambda c, n: F.struct(F.lit(1).alias("rule"), F.concat_ws("|", F.lit(n), "provider", c).alias("key"))
+    named = F.coalesce(marked_season(F.col("raw_title"), F.col("slug")), F.lit(1)).alias("named")
+    asked = incoming.select("rec", "provider", F.struct(*rest, named).alias("i"), F.explode(F.array_compact(F.array(source("provider_id", "id"), source("slug", "slug"), *_row_keys(*own)))).alias("k"))
+    asked = asked.where("k.rule != 4 or provider = 'a'").select("rec", "i", "k.*")
+    held = rows.select("id", "created", "state", F.struct(*rest).alias("r"), F.explode(F.array_compact(F.array(*_row_keys(*own)))).alias("k")).select("id", "created", "state", "r", "k.*")
+    for c, n in (("provider_id", "id"), ("provider_slug", "slug")):
+        if c in sources.columns:
+            blank = [F.lit(None).cast(held.schema[x].dataType).alias(x) for x in ("created", "state", "r")]
+            held = held.unionByName(sources.where(F.col(c).isNotNull()).select("id", *blank, source(c, n).alias("k")).select("id", "created", "state", "r", "k.*"))
+    clash = F.coalesce(identity_conflict(F.col("r"), F.col("i")).isNotNull(), F.lit(False))
+    met = asked.join(held, ["rule", "key"]).withColumn("clash", clash)
+    rule, season = F.col("rule"), F.col("r.tmdb_season")
+    fits = F.when(rule == 3, ~F.col("clash")).when(rule == 4, F.coalesce((F.col("state") == "ready") & (season == F.col("i.named")), F.lit(False))).when(rule >= 5, season.isNull()).otherwise(True)
+    order = F.struct(F.when(rule == 1, F.when(F.col("key").startswith("id|"), 0).otherwise(1)).when(rule == 3, F.coalesce(season, F.lit(-1))).otherwise(0).alias("a"), "created", "id")
+    best = met.where(fits).groupBy("rec", "rule").agg(F.min_by(F.struct("id", "clash", "i", "r"), order).alias("b"), F.count("*").alias("n"))
+    most, least = (f(F.col("b.i.episodes"), F.col("b.r.episodes")) for f in (F.greatest, F.least))
+    alone = (F.col("n") == 1) & slugs_agree(F.col("b.i.slug"), F.col("b.r.slug")) & F.coalesce((least <= 0) | (most / least <= 1.5), F.lit(True))
+    exact = best.where((rule != 4) | alone).select("rec", "rule", "b.id", "b.clash")
+
+    listed = lambda c: F.array_remove(F.split(c, " "), "")  # noqa: E731  an empty name is like no other
+    words = lambda df: df.withColumn("_o", listed("original")).withColumn("_w", listed("title"))
+    left, right = words(incoming.select("rec", "year", "original", "title", *sides)), words(rows.where("tmdb_season is null").select("id", "created", "year", "original", "title", *sides))
+    alike = fuzzy_match(left, right, ["year", "media_type"], ["_o", "_w"], 0.96, ["created", "id"])
+    sides_of = lambda prefix: F.struct(*[F.col(prefix + c).alias(c) for c in sides])
+    alike = alike.select("rec", F.lit(7).alias("rule"), F.col("r_id").alias("id"), F.coalesce(identity_conflict(sides_of("r_"), sides_of("")).isNotNull(), F.lit(False)).alias("clash"))
+    first = exact.unionByName(alike).groupBy("rec").agg(F.min_by(F.struct("id", "rule", "clash"), "rule").alias("f")).select("rec", "f.*")
+    return first.where((F.col("rule") <= 3) | ~F.col("clash")).select("rec", "id", "rule")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from catalume.functions.scalars import present
 from catalume.functions.text import slugify
-from catalume.operators.match import waterfall
 
 
 def unique_slugs(new: DataFrame, taken: DataFrame, key: str, title: str, year: str, most: int = 99) -> DataFrame:
@@ -138,50 +137,6 @@ def fill_identity(rows: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return free.groupBy("_t").agg(F.min_by(F.struct(key, "tmdb_id", "media", "season"), key).alias("x")).select("x.*")
 
 
-def upsert_canonical(rows: DataFrame, sources: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The next rows (id, slug, title, year, media_type, tmdb_id, season, updated_at), the next sources (provider, provider_id,
-    provider_slug, row_id, payload, seen_at) and a log (provider, provider_id, row_id, change: insert, update, same).
-
-    incoming: provider, provider_id, provider_slug, title, year, media_type, tmdb_id, season, payload, one row for each provider id.
-    A record finds its row by its source, else by id tuple, else by title, year and type, unless seasons contradict. Records without
-    a row are resolved among themselves by the same keys: the least (provider, provider_id) of equal ones makes the row.
-    """
-    rec = incoming.withColumn("_rec", F.concat_ws("|", "provider", "provider_id"))
-    norm = F.lower(F.trim("title"))
-    tuple_ = F.concat_ws(":", "media_type", F.col("tmdb_id").cast("string"), F.coalesce(F.col("season").cast("string"), F.lit("")))
-    stored = rows.select(F.col("id").alias("row_id"), F.when(F.col("tmdb_id").isNotNull(), tuple_).alias("_t"), F.concat_ws("|", norm, "year", "media_type").alias("_n"), F.col("season").alias("_s"))
-    by_source = rec.join(sources.select("provider", "provider_id", "row_id"), ["provider", "provider_id"]).select("_rec", "row_id")
-    keyed = rec.select("_rec", F.when(F.col("tmdb_id").isNotNull(), tuple_).alias("_t"), F.concat_ws("|", norm, "year", "media_type").alias("_n"), "season")
-    by_tuple = keyed.join(stored.where("_t is not null").groupBy("_t").agg(F.min("row_id").alias("row_id")), "_t").select("_rec", "row_id")
-    by_title = keyed.join(stored, "_n").where("season is null or _s is null or season = _s").groupBy("_rec").agg(F.min("row_id").alias("row_id"))
-    found = waterfall([by_source, by_tuple, by_title], "_rec", ["row_id"]).select("_rec", "row_id")
-    resolved = rec.join(found, "_rec", "left")
-    lone = resolved.where("row_id is null").drop("row_id")
-    group = F.coalesce(F.when(F.col("tmdb_id").isNotNull(), tuple_), F.concat_ws("|", norm, F.col("year").cast("string"), "media_type", F.coalesce(F.col("season").cast("string"), F.lit(""))))
-    elected = lone.groupBy(group.alias("_g")).agg(F.min_by(F.struct("_rec", "title", "year", "media_type", "tmdb_id", "season"), "_rec").alias("e"))
-    made = elected.select("_g", F.substring(F.md5("e._rec"), 1, 16).alias("id"), "e.*").drop("_rec")
-    slugs = unique_slugs(made, rows.select("slug"), "id", "title", "year")
-    fresh = made.join(slugs, "id").select("id", "slug", "title", "year", "media_type", "tmdb_id", "season", now.alias("updated_at"))
-    joined = lone.withColumn("_g", group).join(made.select("_g", F.col("id").alias("row_id")), "_g").drop("_g")
-    whole = resolved.where("row_id is not null").unionByName(joined)
-
-    best = whole.groupBy("row_id").agg(F.max_by(F.struct("title", "year", "tmdb_id", "season"), F.struct("provider", "provider_id")).alias("_new")).withColumnRenamed("row_id", "id")
-    both = rows.join(best, "id", "left")
-    put = {c: F.when(present(F.col(f"_new.{c}")), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("title", "year")}
-    put |= {c: F.coalesce(c, f"_new.{c}") for c in ("tmdb_id", "season")}  # identity is filled, never overwritten
-    fields = list(put)
-    differs = F.col("_new").isNotNull() & ~F.struct(*[put[c] for c in fields]).eqNullSafe(F.struct(*fields))
-    put["updated_at"] = F.when(differs, now).otherwise(F.col("updated_at"))
-    next_rows = both.select(*[put.get(c, F.col(c)).alias(c) for c in rows.columns]).unionByName(fresh.select(*rows.columns))
-
-    new_sources = whole.select("provider", "provider_id", "provider_slug", "row_id", "payload", now.alias("seen_at"))
-    rest = sources.join(new_sources, ["provider", "provider_id"], "left_anti").join(new_sources, ["provider", "provider_slug"], "left_anti")
-    before = sources.select("provider", "provider_id", F.struct("provider_slug", "row_id", "payload").alias("_was"))
-    log = new_sources.join(before, ["provider", "provider_id"], "left")
-    change = F.when(F.col("_was").isNull(), "insert").when(F.struct("provider_slug", "row_id", "payload").eqNullSafe(F.col("_was")), "same").otherwise("update")
-    return next_rows, rest.unionByName(new_sources), log.select("provider", "provider_id", "row_id", change.alias("change"))
-
-
 def advance_checkpoint(stored: DataFrame, pages: DataFrame, key: str, now: Column, restart_days: int) -> DataFrame:
     """The next checkpoints (key, page, ended_at): the furthest page read; back to page 1 when the end was reached ``restart_days`` ago."""
     read = pages.groupBy(key).agg(F.max("page").alias("_page"), F.bool_or("is_last").alias("_last"))
@@ -243,7 +198,7 @@ def merge_children(children: dict[str, DataFrame], mapping: DataFrame, rules: di
     """
     out = {}
     for name, rows in children.items():
-        moved = rows.join(F.broadcast(mapping) if name in () else mapping, F.col("row_id") == F.col("dropped"), "left")
+        moved = rows.join(mapping, F.col("row_id") == F.col("dropped"), "left")
         moved = moved.withColumn("row_id", F.coalesce("kept", "row_id")).drop("dropped", "kept")
         if name in rules:
             keys, order = rules[name]

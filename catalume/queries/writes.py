@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalume.functions import predicates as p
 from catalume.functions import scalars as s
 from catalume.functions import text as x
-from catalume.operators import identity, pick, ranking, writes
+from catalume.operators import identity, pick, ranking, upsert, writes
 from catalume.queries.registry import query
 
 SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -253,3 +253,43 @@ round((f + 3.8416 / (2 * a) + 1.96 * sqrt(f * (1 - f) / a + 3.8416 / (4 * a * a)
 def policy_replay(t):
     cases = t.part.select("p_partkey", (F.col("p_size") % 5).alias("best"), (F.col("p_partkey") % 5).alias("truth"), (F.col("p_retailprice") / 1000).alias("score"), (F.col("p_size") % 4).alias("lead"))
     return ranking.replay(cases, [("strict", 0.98, 3), ("default", 0.95, 1), ("loose", 0.0, 0)])
+
+
+SHOWS = """k AS (SELECT p_partkey AS k, p_partkey // 3 AS g, p_partkey % 3 AS pos, p_size AS z FROM part),
+t AS (SELECT g, max(CASE WHEN pos = 0 THEN 'a|' || k END) AS r0, max(CASE WHEN pos = 1 THEN 'b|' || k END) AS r1, max(CASE WHEN pos = 2 THEN 'c|' || k END) AS r2, count(*) AS n FROM k GROUP BY g HAVING count(*) = 3)"""
+
+
+@query(f"""WITH {SHOWS}, made AS (SELECT *, substr(md5(r0), 1, 16) AS m0, substr(md5(r1), 1, 16) AS m1, substr(md5(r2), 1, 16) AS m2 FROM t),
+placed AS (SELECT *, CASE WHEN g % 4 = 0 THEN 'S' || g ELSE m0 END AS i0 FROM made),
+more AS (SELECT *, CASE WHEN g % 5 <> 0 THEN i0 ELSE m1 END AS i1 FROM placed),
+whole AS (SELECT *, CASE WHEN g % 9 = 0 AND g % 4 = 0 THEN 'S' || g WHEN g % 7 <> 0 THEN i1 ELSE m2 END AS i2 FROM more)
+SELECT r0 AS rec, i0 AS row_id, 'insert' AS change, CASE WHEN g % 5 <> 0 THEN 1000 + g WHEN g % 9 = 0 AND g % 4 = 0 AND g % 7 = 0 THEN 1000 + g END AS tmdb_id,
+ CASE WHEN g % 5 <> 0 THEN CASE WHEN g % 7 = 0 THEN 2 ELSE 1 END WHEN g % 9 = 0 AND g % 4 = 0 AND g % 7 = 0 THEN 1 END AS season FROM whole
+UNION ALL SELECT r1, i1, 'insert', 1000 + g, CASE WHEN g % 7 = 0 THEN 2 ELSE 1 END FROM whole
+UNION ALL SELECT r2, i2, CASE WHEN g % 9 = 0 AND g % 4 = 0 THEN 'update' ELSE 'insert' END, CASE WHEN i2 = i1 OR i2 = m2 OR g % 5 <> 0 OR g % 7 = 0 THEN 1000 + g END,
+ CASE WHEN i2 = i1 THEN CASE WHEN g % 7 = 0 THEN 2 ELSE 1 END WHEN i2 = m2 THEN 1 WHEN g % 5 <> 0 THEN CASE WHEN g % 7 = 0 THEN 2 ELSE 1 END WHEN g % 7 = 0 THEN 1 END FROM whole""")
+def upsert_canonical(t):
+    """Triples of records that meet only by rows made or filled within the batch: by title, then IMDb id, then id tuple."""
+    k = F.col("p_partkey")
+    part = t.part.select(k, F.floor(k / 3).cast("long").alias("g"), (k % 3).alias("pos"))
+    part = part.join(part.groupBy("g").count().where("count = 3").select("g"), "g")
+    g, pos = F.col("g"), F.col("pos")
+    null = lambda kind: F.lit(None).cast(kind)
+    imdb, season = F.concat(F.lit("tt"), F.lpad(g.cast("string"), 7, "0")), F.when((pos == 1) & (g % 7 == 0), 2).otherwise(1)
+    name = lambda n: F.concat(F.lit("Shöw "), g.cast("string"), F.lit(" "), n)
+    incoming = part.select(
+        F.when(pos == 0, "a").when(pos == 1, "b").otherwise("c").alias("provider"), k.cast("string").alias("provider_id"), F.concat(F.lit("p-"), k.cast("string")).alias("provider_slug"),
+        name(F.when(pos == 0, "One").when(pos == 1, "Two").otherwise("Three")).alias("title"), null("string").alias("original"), (2000 + g % 20).cast("int").alias("year"), F.lit("series").alias("media_type"),
+        F.when(pos > 0, 1000 + g).alias("tmdb_id"), F.when(pos > 0, "tv").alias("tmdb_media"), F.when(pos > 0, season).alias("tmdb_season"), F.when((pos == 1) | ((pos == 0) & (g % 5 != 0)), imdb).alias("imdb"),
+        null("int").alias("episodes"), F.lit("p").alias("payload"),
+    )
+    held, day = part.where("pos = 0 and g % 4 = 0"), F.lit("2023-01-01").cast("timestamp")
+    row_id = F.concat(F.lit("S"), g.cast("string"))
+    rows = held.select(
+        row_id.alias("id"), F.concat(F.lit("s-"), g.cast("string")).alias("slug"), F.upper(name(F.lit("one"))).alias("title"), null("string").alias("original"), (2000 + g % 20).cast("int").alias("year"), F.lit("series").alias("media_type"),
+        null("long").alias("tmdb_id"), null("string").alias("tmdb_media"), null("int").alias("tmdb_season"), null("string").alias("imdb"), null("int").alias("episodes"), F.lit("ready").alias("state"), F.lit(False).alias("pinned"), day.alias("created"), day.alias("updated_at"),
+    )
+    sources = held.where("g % 9 = 0").select(F.lit("c").alias("provider"), (3 * g + 2).cast("string").alias("provider_id"), F.lit("old-").alias("provider_slug"), row_id.alias("row_id"), F.lit("p").alias("payload"), day.alias("seen_at"))
+    sources = sources.withColumn("provider_slug", F.concat("provider_slug", "provider_id"))
+    next_rows, _, log = upsert.upsert_canonical(rows, sources, incoming, F.lit("2024-01-31").cast("timestamp"))
+    return log.join(next_rows.select(F.col("id").alias("row_id"), "tmdb_id", "tmdb_season"), "row_id").select(F.concat_ws("|", "provider", "provider_id").alias("rec"), "row_id", "change", "tmdb_id", F.col("tmdb_season").alias("season"))

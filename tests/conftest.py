@@ -15,7 +15,7 @@ def spark():
 
     place = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     conf = {
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g",
+        "spark.ui.enabled": "false", "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g",
         "spark.local.dir": place, "spark.sql.warehouse.dir": f"{place}/warehouse", "spark.checkpoint.dir": f"file://{place}/shared",
     }
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()

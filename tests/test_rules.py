@@ -249,27 +249,6 @@ def test_write_transforms(spark):
     assert {r.id: r.slug for r in writes.undo(now_, log, ["slug"]).collect()} == {1: "old", 2: "other", 3: "x"}
 
 
-def test_upsert_canonical(spark):
-    now = F.lit("2024-01-31").cast("timestamp")
-    old = dt.datetime(2023, 1, 1)
-    rows = spark.createDataFrame([("r1", "alpha", "Alpha", 2000, "tv", 5, 1, old), ("r2", "beta", "Beta", 2001, "movie", None, None, old)], "id string, slug string, title string, year int, media_type string, tmdb_id long, season int, updated_at timestamp")
-    sources = spark.createDataFrame([("kk", "1", "alpha", "r1", "p", old), ("kk", "9", "gone", "r1", "q", old)], "provider string, provider_id string, provider_slug string, row_id string, payload string, seen_at timestamp")
-    incoming = spark.createDataFrame(
-        [
-            ("kk", "1", "alpha", "Alpha", 2000, "tv", 5, 1, "p"), ("nc", "7", "a", "Other name", 2000, "tv", 5, 1, "x"), ("nc", "8", "b", "beta ", 2001, "movie", 77, None, "y"),
-            ("kk", "2", "c", "Gamma", 2010, "movie", 88, None, "z"), ("nc", "3", "c2", "Gamma again", 2010, "movie", 88, None, "z"), ("nc", "4", "al", "Alpha", 2000, "tv", 6, 2, "s"),
-        ],
-        "provider string, provider_id string, provider_slug string, title string, year int, media_type string, tmdb_id long, season int, payload string",
-    )
-    next_rows, next_sources, log = writes.upsert_canonical(rows, sources, incoming, now)
-    where = {(r.provider, r.provider_id): r.row_id for r in next_sources.collect()}
-    assert where["kk", "1"] == where["nc", "7"] == "r1" and where["nc", "8"] == "r2" and where["kk", "2"] == where["nc", "3"] not in ("r1", "r2")
-    assert where["nc", "4"] not in ("r1", "r2", where["kk", "2"]) and where["kk", "9"] == "r1"
-    found = {r.id: r for r in next_rows.collect()}
-    assert len(found) == 4 and found["r2"].tmdb_id == 77 and found["r1"].tmdb_id == 5 and found[where["kk", "2"]].slug == "gamma" and found[where["nc", "4"]].slug == "alpha-2000"
-    assert {(r.provider, r.provider_id): r.change for r in log.collect()} == {("kk", "1"): "same", **{k: "insert" for k in (("nc", "7"), ("nc", "8"), ("kk", "2"), ("nc", "3"), ("nc", "4"))}}
-
-
 def test_accounts(spark):
     at = lambda n: dt.datetime(2024, 1, n)
     fields = "user_id long, item string, at timestamp, episode string"
