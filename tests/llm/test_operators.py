@@ -336,7 +336,7 @@ def test_toxicity_scores_match_brute_force(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("toxic")).collect()
     learnt = {r.doc_id: r.toxic for r in labels if not held(r.doc_id)}
-    index = toxicity.learn(docs, spark.createDataFrame(list(learnt.items()), "doc_id long, toxic int"), 20_000, 4096, 15, 64)
+    index = toxicity.learn(docs, spark.createDataFrame(list(learnt.items()), "doc_id long, toxic int"), 20_000, 15, 64)
     rows = {r.doc_id: r.text for r in docs.collect()}
     counted = {i: dict(index.count(t.encode())) for i, t in rows.items()}
     n_terms = len(index.idf)
