@@ -85,14 +85,14 @@ def sliding_limiter(df: DataFrame, keys: list[str], millis: str, span: int, limi
     return folded.select(*keys, F.col("_h.t").alias(millis), F.col("_h.allowed").alias("allowed"), F.col("_h.retry").alias("retry_ms"))
 
 
-def failure_backoff(df: DataFrame, keys: list[str], millis: str, failed: Column, free: int = 4, base: int = 250, most: int = 5000, expires: int = 900_000) -> DataFrame:
+def failure_backoff(df: DataFrame, keys: list[str], millis: str, failed: Column, free: int = 4, base: int = 250, most: int = 5000, expires: int = 900_000, tie: list[str] = ()) -> DataFrame:
     """Adds streak and delay_ms: nothing for the first ``free`` failures in a row, then base doubling up to ``most``; a success or a
     pause of ``expires`` ends the streak.
     """
-    w = Window.partitionBy(*keys).orderBy(millis)
+    w = Window.partitionBy(*keys).orderBy(millis, *tie)
     gap = F.coalesce(F.col(millis) - F.lag(millis).over(w) > expires, F.lit(False))
     marked = df.withColumn("_f", failed.cast("int")).withColumn("_cut", ((F.col("_f") == 0) | gap).cast("int")).withColumn("_island", F.sum("_cut").over(w))
-    out = marked.withColumn("streak", F.sum("_f").over(Window.partitionBy(*keys, "_island").orderBy(millis)))
+    out = marked.withColumn("streak", F.sum("_f").over(Window.partitionBy(*keys, "_island").orderBy(millis, *tie)))
     delay = F.when(F.col("streak") > free, F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.col("streak") - free - 1))).otherwise(0.0)
     return out.withColumn("delay_ms", delay.cast("long")).drop("_f", "_cut", "_island")
 

@@ -159,10 +159,11 @@ def newest(rows: DataFrame, key: str, at: str, most: int, *ties: str) -> DataFra
     return rows.withColumn("place", rank).where(F.col("place") <= most)
 
 
-def touch_history(stored: DataFrame, touches: DataFrame) -> DataFrame:
-    """The next history (user_id, item, at, episode): the newest time; an episode of null keeps the one before it."""
+def touch_history(stored: DataFrame, touches: DataFrame, tie: str = "episode") -> DataFrame:
+    """The next history (user_id, item, at, episode): the newest time; an episode of null keeps the one before it. Of touches at one
+    time the one with the greatest ``tie`` counts."""
     both = stored.unionByName(touches)
-    return both.groupBy("user_id", "item").agg(F.max("at").alias("at"), F.max_by("episode", F.when(F.col("episode").isNotNull(), F.col("at"))).alias("episode"))
+    return both.groupBy("user_id", "item").agg(F.max("at").alias("at"), F.max_by("episode", F.when(F.col("episode").isNotNull(), F.struct("at", tie))).alias("episode"))
 
 
 def merge_import(stored: DataFrame, imported: DataFrame) -> DataFrame:
