@@ -59,10 +59,10 @@ def fold_rows(t):
 @query(f"""WITH {GROUPS},{HISTORY}, f AS (SELECT o_custkey AS row_id, o_orderpriority AS item, min(o_orderdate) AS at FROM orders GROUP BY ALL),
 b AS (SELECT root, item, h.at, price FROM h JOIN p ON id = row_id QUALIFY row_number() OVER (PARTITION BY root, item ORDER BY h.at DESC, turn) = 1),
 g AS (SELECT root, item, f.at FROM f JOIN p ON id = row_id QUALIFY row_number() OVER (PARTITION BY root, item ORDER BY turn) = 1)
-SELECT b.root AS row_id, item, b.at, price, g.at AS added FROM b JOIN g USING (root, item)""")
+SELECT b.root AS row_id, item, b.at AS seen, price, g.at AS added FROM b JOIN g USING (root, item)""")
 def fold_children(t):
     after, _, _ = folds.fold_rows(_tables(t), _folds(t), FIELDS, _children())
-    return after["history"].join(after["favorites"].withColumnRenamed("at", "added"), ["row_id", "item"])
+    return after["history"].withColumnRenamed("at", "seen").join(after["favorites"].withColumnRenamed("at", "added"), ["row_id", "item"])
 
 
 @query(f"""WITH {GROUPS},{HISTORY},

@@ -134,11 +134,11 @@ def gate_tiers(t):
 
 
 @query("""WITH s AS (SELECT o_custkey AS user_id, o_orderpriority AS item, o_orderdate AS seen, CASE WHEN o_orderkey % 3 > 0 THEN 'e' || o_orderkey END AS episode, o_orderkey AS k FROM orders)
-SELECT user_id, item, max(seen) AS "at", arg_max(episode, (seen, k)) FILTER (episode IS NOT NULL) AS episode FROM s GROUP BY ALL""")
+SELECT user_id, item, max(seen) AS seen, arg_max(episode, (seen, k)) FILTER (episode IS NOT NULL) AS episode FROM s GROUP BY ALL""")
 def touch_history(t):
     rows = t.orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("item"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("e"), F.col("o_orderkey").cast("string"))).alias("episode"), F.col("o_orderkey").alias("k"))
     stored, touches = rows.where("k % 2 = 0"), rows.where("k % 2 = 1")
-    return writes.touch_history(stored, touches, tie="k")
+    return writes.touch_history(stored, touches, tie="k").withColumnRenamed("at", "seen")
 
 
 @query("""WITH l AS (SELECT o_custkey AS id, CASE o_orderstatus WHEN 'F' THEN 'blocked' WHEN 'P' THEN 'undone' ELSE 'assign' END AS kind, o_orderdate AS made FROM orders WHERE o_orderkey % 9 = 0)
