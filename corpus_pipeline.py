@@ -11,7 +11,8 @@ stages; equal rows are judged alike and, as exact copies under one doc_id, stay
 itself. Very long texts are processed whole. An empty table passes through empty. Further columns, whatever their names,
 pass through to the last stage but one.
 
-SQL cannot express the tokenizer of the last stage, so ORACLE_SQL is None; tests compare run() with a brute-force version.
+SQL cannot express the tokenizer of the last stage, so ORACLE_SQL is None; tests run the stages in turn and check what each one
+keeps, and that run() packs every kept token once.
 """
 
 from __future__ import annotations
