@@ -138,7 +138,7 @@ def provider_decision(row: Column, claims: Column) -> Column:
             F.when(writes, number).alias("tmdb_id"), F.when(writes, media).alias("media"), found["season"].alias("season"), imdb.alias("imdb_action"),
         )
 
-    return F.transform(F.array(ladder), named_fields)[0]  # the ladder is climbed once
+    return _bound(ladder, named_fields)
 
 
 def review_key(claims: Column, row: Column, settings: Column) -> Column:
@@ -166,39 +166,62 @@ def resolve_season(media: Column, stored: Column, title: Column, slug: Column, k
     return F.struct(F.when((media != "movie") & ~F.coalesce(bad, F.lit(False)), season).alias("season"), blocked.alias("blocked"))
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)``, with value computed once for each row however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def infer_season(year: Column, total: Column, title: Column, original: Column, slug: Column, shows: Column) -> Column:
     """season and reason: which of ``shows`` (number, episodes, year: an array ordered by number) a row of this year and episode
     count is. An answer needs a year within one and an episode count within a quarter that one season alone has; ties go to the
     exact year, then to the exact count; several seasons that add up to the count are a span and no answer.
     """
-    total = F.coalesce(first_integer(total.cast("string")), F.lit(0))
-    seasons = F.filter(shows, lambda s: s["number"] > 0)
     near = lambda s: s["year"].isNotNull() & (F.abs(s["year"] - year) <= 1)
-    ratio = lambda s: F.greatest(s["episodes"], total) / F.least(s["episodes"], total).cast("double")
-    far = lambda s: (F.abs(s["episodes"] - total) > 5) & (F.abs(s["episodes"] - total) / F.greatest(F.lit(1), F.least(s["episodes"], total)) > 0.25)
-    in_year = F.filter(seasons, near)
-    fits = F.filter(in_year, lambda s: (s["episodes"] > 0) & (ratio(s) <= 1.25))
-    exact = F.filter(fits, lambda s: s["year"] == year)
-    counted = F.filter(F.when(F.size(exact) > 0, exact).otherwise(fits), lambda s: s["episodes"] == total)
-    tied = F.when(F.size(exact) == 1, exact[0]).when(F.size(counted) == 1, counted[0])
-    chosen = F.when(F.size(seasons) == 1, seasons[0]).when(F.size(fits) == 1, fits[0]).when(F.size(fits) > 1, tied)
-
-    # a span starts at a season near the year; sums of following seasons are differences of running totals
-    totals = F.aggregate(seasons, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s["episodes"])))
-    starts = F.transform(seasons, lambda s, i: F.struct(near(s).alias("near"), i.alias("i")))
-    span = F.exists(starts, lambda s: s["near"] & F.exists(F.slice(totals, s["i"] + 3, F.greatest(F.lit(0), F.size(totals) - s["i"] - 2)), lambda t: t - F.element_at(totals, s["i"] + 1) == total))
-    announced = declared_seasons(title, original, slug)
-    clash = F.exists(announced, lambda n: n != chosen["number"])
-    reason = (
-        F.when(year.isNull() | (year <= 0), "no-year").when(total < 3, "too-few-episodes").when(marked_season(title, slug).isNotNull(), "has-season-marker")
-        .when(F.coalesce(F.size(seasons), F.lit(0)) <= 0, "no-seasons")
-        .when((F.size(seasons) > 1) & (F.size(fits) > 1) & tied.isNull(), "ambiguous")
-        .when((F.size(seasons) > 1) & (F.size(in_year) == 0), "year-gap")
-        .when((F.size(seasons) > 1) & (F.size(fits) == 0), F.when(span, "multi-season-span").when(F.forall(in_year, lambda s: (s["episodes"] > 0) & far(s)), "episode-gap").otherwise("no-season-fits"))
-        .when(chosen["year"].isNotNull() & (F.abs(chosen["year"] - year) > 1), "year-gap").when((chosen["episodes"] > 0) & far(chosen), "episode-gap")
-        .when(clash, "marker-conflict")
-    )
-    return F.struct(F.when(reason.isNull(), chosen["number"]).alias("season"), reason.alias("reason"))
+
+    def far(s: Column, n: Column) -> Column:
+        return (F.abs(s["episodes"] - n) > 5) & (F.abs(s["episodes"] - n) / F.greatest(F.lit(1), F.least(s["episodes"], n)) > 0.25)
+
+    def fitting(known: Column) -> Column:
+        """Adds to n and seasons the seasons in the year and those of them that fit."""
+        n, seasons = known["n"], known["seasons"]
+        ratio = lambda s: F.greatest(s["episodes"], n) / F.least(s["episodes"], n).cast("double")
+        in_year = F.filter(seasons, near)
+        return F.struct(n.alias("n"), seasons.alias("seasons"), in_year.alias("in_year"), F.filter(in_year, lambda s: (s["episodes"] > 0) & (ratio(s) <= 1.25)).alias("fits"))
+
+    def choosing(known: Column) -> Column:
+        n, seasons, in_year, fits = (known[c] for c in ("n", "seasons", "in_year", "fits"))
+
+        def tied(exact: Column) -> Column:
+            counted = F.filter(F.when(F.size(exact) > 0, exact).otherwise(fits), lambda s: s["episodes"] == n)
+            return F.when(F.size(exact) == 1, exact[0]).when(F.size(counted) == 1, counted[0])
+
+        chosen = F.when(F.size(seasons) == 1, seasons[0]).when(F.size(fits) == 1, fits[0]).when(F.size(fits) > 1, _bound(F.filter(fits, lambda s: s["year"] == year), tied))
+        return F.struct(n.alias("n"), seasons.alias("seasons"), in_year.alias("in_year"), fits.alias("fits"), chosen.alias("chosen"))
+
+    def judging(known: Column) -> Column:
+        n, seasons, in_year, fits, chosen = (known[c] for c in ("n", "seasons", "in_year", "fits", "chosen"))
+
+        def span(totals: Column) -> Column:
+            """A span starts at a season near the year; sums of following seasons are differences of running totals."""
+            starts = F.transform(seasons, lambda s, i: F.struct(near(s).alias("near"), i.alias("i")))
+            return F.exists(starts, lambda s: s["near"] & F.exists(F.slice(totals, s["i"] + 3, F.greatest(F.lit(0), F.size(totals) - s["i"] - 2)), lambda t: t - F.element_at(totals, s["i"] + 1) == n))
+
+        totals = F.aggregate(seasons, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s["episodes"])))
+        clash = F.exists(declared_seasons(title, original, slug), lambda m: m != chosen["number"])
+        several = F.size(seasons) > 1
+        reason = (
+            F.when(year.isNull() | (year <= 0), "no-year").when(n < 3, "too-few-episodes").when(marked_season(title, slug).isNotNull(), "has-season-marker")
+            .when(F.coalesce(F.size(seasons), F.lit(0)) <= 0, "no-seasons")
+            .when(several & (F.size(fits) > 1) & chosen.isNull(), "ambiguous")
+            .when(several & (F.size(in_year) == 0), "year-gap")
+            .when(several & (F.size(fits) == 0), F.when(_bound(totals, span), "multi-season-span").when(F.forall(in_year, lambda s: (s["episodes"] > 0) & far(s, n)), "episode-gap").otherwise("no-season-fits"))
+            .when(chosen["year"].isNotNull() & (F.abs(chosen["year"] - year) > 1), "year-gap").when((chosen["episodes"] > 0) & far(chosen, n), "episode-gap")
+            .when(clash, "marker-conflict")
+        )
+        return _bound(F.struct(chosen["number"].alias("number"), reason.alias("reason")), lambda r: F.struct(F.when(r["reason"].isNull(), r["number"]).alias("season"), r["reason"].alias("reason")))
+
+    known = F.struct(F.coalesce(first_integer(total.cast("string")), F.lit(0)).alias("n"), F.filter(shows, lambda s: s["number"] > 0).alias("seasons"))
+    return _bound(known, lambda a: _bound(fitting(a), lambda b: _bound(choosing(b), judging)))
 
 
 def merge_guard(a: Column, b: Column) -> Column:

@@ -209,11 +209,6 @@ def merge_children(children: dict[str, DataFrame], mapping: DataFrame, rules: di
     return out
 
 
-def fill_blank(kept: Column, dropped: Column, fields: list[str]) -> list[Column]:
-    """Columns of a kept row with its blank fields taken from the dropped one."""
-    return [F.when(present(kept[f]), kept[f]).otherwise(dropped[f]).alias(f) for f in fields]
-
-
 def undo(rows: DataFrame, log: DataFrame, fields: list[str]) -> DataFrame:
     """Rows with logged changes (id, before, after: structs of ``fields``) taken back, where the row still is as the change left it.
     Of several changes of a row the last counts (``change_id``)."""
