@@ -9,23 +9,54 @@ from catalume.functions.scalars import dice
 from catalume.operators.tables import cut
 
 
+def candidate_sets(left: DataFrame, right: DataFrame, block: list[str], words: str, least: float) -> DataFrame:
+    """block, l, r: pairs of distinct word sets of a block, one of each side, whose Dice similarity may be ``least`` (over 0) or more.
+
+    Sets meet only by their prefixes: with words in one order, rarest of the block first, two sets that similar share one of their first
+    n - ceil(n * least / (2 - least)) + 1 words, n the set's size, and neither is smaller than that share of the other. A word that all rows of
+    a block hold comes last and is in a prefix only of sets that need it; such sets differ in sizes and rarer words, or are equal and one.
+    Null and empty sets have no partners.
+    """
+    share = least / (2 - least)
+    of = lambda df, n: df.select(*block, F.array_sort(F.array_distinct(words)).alias("set"), F.lit(n == "l").alias("inl"), F.lit(n == "r").alias("inr"))
+    both = of(left, "l").unionByName(of(right, "r")).where("size(set) > 0").groupBy(*block, "set").agg(F.bool_or("inl").alias("inl"), F.bool_or("inr").alias("inr"))
+    each = both.select("*", F.explode("set").alias("word"))
+    common = each.groupBy(*block, "word").agg(F.count("*").alias("n"))
+    ranked = each.join(common, [*block, "word"]).groupBy(*block, "set", "inl", "inr").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    first = F.slice(F.transform("w", lambda x: x["word"]), 1, F.size("set") - F.ceil(F.size("set") * share - 1e-9).cast("int") + 1)
+    known = ranked.select(*block, "set", "inl", "inr", first.alias("prefix")).select("*", F.explode("prefix").alias("word"))
+    side = lambda n: known.where(f"in{n}").select(*block, F.col("set").alias(n), F.col("prefix").alias(f"p{n}"), "word")
+    near = F.least(F.size("l"), F.size("r")) >= F.greatest(F.size("l"), F.size("r")) * share - 1e-9
+    once = F.array_min(F.array_intersect("pl", "pr")) == F.col("word")  # of several common words one makes the pair
+    met = side("l").join(side("r"), [*block, "word"]).where(near & once)
+    return met.select(*block, "l", "r")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, block: list[str], words: str, least: float) -> DataFrame:
+    """The pairs of ``candidate_sets`` whose Dice similarity, ``score``, is ``least`` or more."""
+    met = candidate_sets(left, right, block, words, least)
+    return met.withColumn("score", dice(F.col("l"), F.col("r"))).where(F.col("score") >= least)
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: list[str], least: float, order: list[str], oldest: int = 100) -> DataFrame:
     """For each row of ``left`` the first row of ``right`` (columns prefixed r_) in its block whose greatest Dice similarity over the
     word columns ``words`` is ``least`` or more, among the block's first ``oldest`` rows by ``order``.
 
-    Rows meet by block and by a common word of one column, never as all pairs of a block. Equal left rows stay apart.
+    Word sets are matched, not rows: of the right rows with one set only the first can be found, and repeated left rows ask once.
     """
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
     rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
     kept = right.withColumn("_rank", rank).where(F.col("_rank") <= oldest).drop("_rank")
-    each = F.explode(F.flatten(F.array(*[F.transform(F.array_distinct(c), lambda w: F.concat_ws(" ", F.lit(n), w)) for n, c in enumerate(map(F.col, words))])))
-    a = rows.select(*block, F.struct(*[F.col(c) for c in rows.columns]).alias("l"), each.alias("w"))
-    b = kept.select(*block, F.struct(*[F.col(c) for c in right.columns]).alias("r"), each.alias("w"))
-    met = a.join(b, [*block, "w"]).select("l", "r").distinct()
-    score = F.array_max(F.array(*[F.coalesce(dice(F.col(f"l.{c}"), F.col(f"r.{c}")), F.lit(0.0)) for c in words]))
-    scored = met.withColumn("score", score).where(F.col("score") >= least)
-    best = scored.groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct(*[F.col(f"r.{c}") for c in order])).alias("m"))
-    return best.select(*[F.col(f"l.{c}").alias(c) for c in left.columns], *[F.col(f"m.r.{c}").alias(f"r_{c}") for c in right.columns], F.col("m.score").alias("score"))
+    of = lambda c: F.array_sort(F.array_distinct(c))
+    place, out = (lambda r: F.struct(*[F.col(f"{r}.{c}") for c in order])), left
+    for n, c in enumerate(words):
+        heads = kept.groupBy(*block, of(c).alias("r")).agg(F.min_by(F.struct(*right.columns), F.struct(*order)).alias("_row"))
+        found = similar_sets(left, kept, block, c, least).join(heads, [*block, "r"])
+        best = found.groupBy(*block, F.col("l").alias("_set")).agg(F.min_by("_row", place("_row")).alias(f"_r{n}"))
+        out = out.withColumn("_set", of(c)).join(best, [*block, "_set"], "left").drop("_set")
+    firsts = [F.when(F.col(f"_r{n}").isNotNull(), F.struct(place(f"_r{n}").alias("at"), F.col(f"_r{n}").alias("row"))) for n in range(len(words))]
+    out = out.withColumn("_m", (F.least(*firsts) if len(firsts) > 1 else firsts[0])["row"]).where("_m is not null")
+    score = F.array_max(F.array(*[F.coalesce(dice(F.col(c), F.col(f"_m.{c}")), F.lit(0.0)) for c in words]))
+    return out.select(*left.columns, *[F.col(f"_m.{c}").alias(f"r_{c}") for c in right.columns], score.alias("score"))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, block: list[str], l_id: str, r_id: str, evidence: Column | None = None, most: int = 6) -> DataFrame:

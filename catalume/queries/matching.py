@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalume.functions.scalars import dice
 from catalume.operators import match
 from catalume.queries.registry import query
 
@@ -30,11 +29,11 @@ def fuzzy_match(t):
 @query(f"""SELECT a.p_partkey AS a, b.p_partkey AS b, round({DICE}, 6) AS score FROM {PART} a JOIN {PART} b
 ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE {DICE} >= 0.5""")
 def dice_pairs(t):
-    rows = t.part.select("p_brand", "p_size", "p_partkey", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    each = rows.select("*", F.explode("w").alias("word"))  # only rows with a common word meet
-    a, b = (each.select("p_brand", "p_size", "word", F.col("p_partkey").alias(n), F.col("w").alias(f"w{n}")) for n in "ab")
-    met = a.join(b, ["p_brand", "p_size", "word"]).where("a < b").select("a", "b", F.round(dice(F.col("wa"), F.col("wb")), 6).alias("score")).distinct()
-    return met.where("score >= 0.5")
+    rows = t.part.select("p_brand", "p_size", "p_partkey", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    near = match.similar_sets(rows, rows, ["p_brand", "p_size"], "w", 0.5)
+    a, b = (rows.select("p_brand", "p_size", F.col("p_partkey").alias(n), F.col("w").alias(s)) for n, s in (("a", "l"), ("b", "r")))
+    met = near.join(a, ["p_brand", "p_size", "l"]).join(b, ["p_brand", "p_size", "r"]).where("a < b")
+    return met.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY p_name, p_size, p_brand < 'Brand#3') AS n FROM part),

@@ -29,3 +29,22 @@ def test_components_of_the_query(spark):
         a, b = find(r.o_custkey), find(r.o_custkey + 7 * (r.o_orderkey % 3 + 1))
         root[max(a, b)] = min(a, b)
     assert {r.node: r.label for r in QUERIES["components"](spark, folder).collect()} == {i: find(i) for i in list(root)}
+
+
+def test_similar_sets_meet_by_rare_words_only(spark):
+    """In a block with one word in every row, candidates stay few, and none that is similar is missed."""
+    import random
+
+    deal = random.Random(5)
+    names = ["the " + " ".join(deal.sample([f"w{i}" for i in range(400)], deal.randint(2, 7))) for _ in range(400)]
+    names += [n + " more" for n in names[:40]] + names[:20] + ["the", ""]
+    rows = spark.createDataFrame([(i, 1, n.split()) for i, n in enumerate(names)] + [(-1, 1, None), (-2, 2, ["the"]), (-3, None, ["the"])], "id int, g int, w array<string>")
+    sets = sorted({tuple(sorted(set(n.split()))) for n in names if n})
+    alike = lambda a, b: 2 * len(set(a) & set(b)) / (len(a) + len(b))
+    for least in (0.5, 0.8, 0.96):
+        want = {(a, b) for a in sets for b in sets if alike(a, b) >= least}
+        found = match.similar_sets(rows, rows, ["g"], "w", least).where("g = 1").collect()
+        assert {(tuple(r.l), tuple(r.r)) for r in found} == want and len(found) == len(want)
+        assert all(abs(r.score - alike(r.l, r.r)) < 1e-9 for r in found)
+        met = match.candidate_sets(rows, rows, ["g"], "w", least).where("g = 1").count()
+        assert met < len(sets) ** 2 / (8 if least == 0.5 else 40)  # all pairs share a word
