@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalume.functions.text import normalize_title
-from catalume.operators import pick
+from catalume.operators import pick, search
 from catalume.operators.snapshot import orphans
+from catalume.operators.tables import shared_folder
 from catalume.queries.registry import query
 
 
@@ -50,6 +51,24 @@ def keyword_search(t):
     return t.documents.where(normalize_title(F.col("text")).contains("the than")).select("doc_id")
 
 
+SOUGHT = ("the than", "Ing  the", "ther than th", "e a", "x", "zq", "qqqzzz")
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM documents)
+    SELECT s.words, n.doc_id FROM n JOIN (VALUES {", ".join(f"('{w}', '{' '.join(w.lower().split())}')" for w in SOUGHT)}) s(words, w) ON contains(n.t, s.w)"""
+)
+def trigram_search(t):
+    """All searches read one index of all texts."""
+    path = shared_folder(t.spark, "trigrams")
+    search.build_index(t.documents, "doc_id", "text", path)
+    found = [search.search(t.spark, path, w).select(F.lit(w).alias("words"), F.col("key").alias("doc_id")) for w in SOUGHT]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 @query("SELECT w AS slug, max(upper(w)) AS name, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w")
 def facet_counts(t):
     words = t.part.select(F.explode(F.split("p_name", " ")).alias("slug"))
