@@ -28,11 +28,11 @@ def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(gram), F.lit(buckets)).cast("int")
 
 
-def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """texts, postings and grams; an empty one has no files, so no schema is read from them."""
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of an index; an empty one has no files, so no schema is read from them."""
     kind = spark.read.parquet(f"{path}/key").schema["key"].dataType.simpleString()
     shapes = {"texts": f"key {kind}, normal string, lot int", "postings": f"gram string, key {kind}, lot int, bucket int", "grams": "gram string, n bigint, bucket int"}
-    return tuple(spark.read.schema(shape).parquet(f"{path}/{name}") for name, shape in shapes.items())
+    return spark.read.schema(shapes[name]).parquet(f"{path}/{name}")
 
 
 def build_index(texts: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
@@ -45,9 +45,9 @@ def build_index(texts: DataFrame, key: str, text: str, path: str, buckets: int =
     spark = texts.sparkSession
     rows.select("key").limit(0).write.parquet(f"{path}/key")
     rows.repartition("lot").write.partitionBy("lot").parquet(f"{path}/texts")
-    each = _tables(spark, path)[0].select("key", "lot", F.explode(_grams(F.col("normal"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
+    each = _table(spark, path, "texts").select("key", "lot", F.explode(_grams(F.col("normal"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
     each.repartition("bucket", "lot").sortWithinPartitions("bucket", "gram").select("gram", "key", "lot", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
-    counted = _tables(spark, path)[1].groupBy("bucket", "gram").agg(F.count("*").alias("n"))
+    counted = _table(spark, path, "postings").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
     counted.write.partitionBy("bucket").parquet(f"{path}/grams")
 
 
@@ -61,7 +61,7 @@ def search(spark: SparkSession, path: str, words: str, buckets: int = 64, rare:
     text = asked.first().w  # the words themselves
     if not text:
         raise ValueError("nothing to search for")
-    whole, postings, numbers = _tables(spark, path)
+    whole, postings, numbers = (_table(spark, path, name) for name in ("texts", "postings", "grams"))
     if len(text) < 3:
         return postings.where(F.col("gram").startswith(text)).select("key").distinct()
     grams = list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2)))  # as many as the words have letters
