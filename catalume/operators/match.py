@@ -149,14 +149,19 @@ def alerts(stats: Column, pending: int, stall: int = 3) -> Column:
     return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
 
 
-def waterfall(rules: list[DataFrame], key: str, order: list[str], veto: Column | None = None) -> DataFrame:
-    """Of the candidates of all rules (key, ...), for each key the first of the earliest rule that has one; adds ``rule``."""
-    tagged = [r.withColumn("rule", F.lit(i + 1)) for i, r in enumerate(rules)]
-    found = tagged[0]
-    for more in tagged[1:]:
-        found = found.unionByName(more)
-    if veto is not None:
-        found = found.where(~F.coalesce(veto, F.lit(False)))
+def waterfall(rows: DataFrame, key: str, rules: list[tuple[DataFrame, dict[str, Column]]], order: list[str], veto: Column | None = None) -> DataFrame:
+    """For each key of ``rows`` the first candidate of the earliest rule that has one, by ``order``; adds ``rule``.
+
+    A rule: its candidates, and for columns of theirs the expressions over rows that they equal. veto: candidates that no rule may take.
+    Of candidates that a rule cannot tell apart only the first is joined, so a value that many share is no product of both sides.
+    """
+    found = None
+    for i, (candidates, on) in enumerate(rules):
+        allowed = candidates if veto is None else candidates.where(~F.coalesce(veto, F.lit(False)))
+        first = allowed.groupBy(*[F.col(c).alias(f"_on_{c}") for c in on]).agg(F.min_by(F.struct(*candidates.columns), F.struct(*order)).alias("_c"))
+        asked = rows.select(key, *[e.alias(f"_on_{c}") for c, e in on.items()])
+        met = asked.join(first, [f"_on_{c}" for c in on]).select(key, "_c.*", F.lit(i + 1).alias("rule"))
+        found = met if found is None else found.unionByName(met)
     rest = [c for c in found.columns if c != key]
     return found.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("rule", *order)).alias("m")).select(key, "m.*")
 

@@ -65,11 +65,11 @@ SELECT s_suppkey, p_partkey, rule::INT AS rule FROM c WHERE p_partkey % 10 <> 0
 def waterfall(t):
     s, p = t.supplier.select("s_suppkey", "s_nationkey"), t.part.select("p_partkey", "p_size", "p_brand")
     rules = [
-        s.join(p.where("p_size > 10"), F.col("p_partkey") == F.col("s_suppkey") * 7),
-        s.join(p.where("p_brand = 'Brand#11'"), F.col("p_size") == F.col("s_nationkey")),
-        s.join(p, F.col("p_partkey") == F.col("s_suppkey")),
+        (p.where("p_size > 10"), {"p_partkey": F.col("s_suppkey") * 7}),
+        (p.where("p_brand = 'Brand#11'"), {"p_size": F.col("s_nationkey")}),
+        (p, {"p_partkey": F.col("s_suppkey")}),
     ]
-    out = match.waterfall([r.select("s_suppkey", "p_partkey") for r in rules], "s_suppkey", ["p_partkey"], F.col("p_partkey") % 10 == 0)
+    out = match.waterfall(s, "s_suppkey", rules, ["p_partkey"], F.col("p_partkey") % 10 == 0)
     return out.select("s_suppkey", "p_partkey", "rule")
 
 

@@ -48,3 +48,27 @@ def test_similar_sets_meet_by_rare_words_only(spark):
         assert all(abs(r.score - alike(r.l, r.r)) < 1e-9 for r in found)
         met = match.candidate_sets(rows, rows, ["g"], "w", least).where("g = 1").count()
         assert met < len(sets) ** 2 / (8 if least == 0.5 else 40)  # all pairs share a word
+
+
+def test_waterfall_joins_only_the_first_of_candidates_that_share_a_value(spark):
+    """Many rows and many candidates with one value were all multiplied before the first was taken."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    deal = random.Random(3)
+    rows = [(i, deal.choice([None, 1, 2, 3]), deal.choice([None, *range(40)])) for i in range(60)]
+    found = [(i, deal.choice([None, 1, 2]), deal.choice(["a", "b", None])) for i in range(40)]
+    want = {}
+    for i, one, two in rows:
+        tests = [lambda c: c[2] == "a" and one == c[1], lambda c: two == c[0]]
+        first = next(((n + 1, min(c[0] for c in fits)) for n, t in enumerate(tests) if (fits := [c for c in found if t(c) and None not in (c[1], c[0]) and c[0] % 5])), None)
+        if first:
+            want[i] = first
+    c = spark.createDataFrame(found, "c int, g int, m string").where("g is not null")
+    left = spark.createDataFrame(rows, "i int, one int, two int")
+    out = match.waterfall(left, "i", [(c.where("m = 'a'"), {"g": F.col("one")}), (c, {"c": F.col("two")})], ["c"], F.col("c") % 5 == 0)
+    assert {r.i: (r.rule, r.c) for r in out.collect()} == want
+    many = spark.range(100_000).select("id", F.lit(1).alias("g"))  # as pairs these are ten thousand million
+    out = match.waterfall(many, "id", [(many.withColumnRenamed("id", "c"), {"g": F.col("g")})], ["c"])
+    assert out.agg(F.count("*"), F.max("c"), F.max("rule")).first() == (100_000, 0, 1)
