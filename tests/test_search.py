@@ -50,3 +50,19 @@ def test_empty_table(spark):
     path = f"file://{tempfile.mkdtemp(prefix='spark-index-', dir='/tmp')}/index"
     search.build_index(spark.createDataFrame([], "k int, t string"), "k", "t", path)
     assert search.search(spark, path, "needle").count() == 0
+
+
+def test_trigrams_without_lambdas_and_texts_normalised_once(spark, tmp_path):
+    """Each character went through two lambdas, and each text was normalised for the test for null and again for its row."""
+    from pyspark.sql import functions as F
+
+    text = "a𝐀b𠀀𠀁 c\n" * 3  # letters beyond the basic plane are one character
+    chars = [*text, *search.END]
+    df = spark.createDataFrame([(text,), (None,), ("",), ("x",)], "t string")
+    got = [r.g for r in df.select(search._grams(F.col("t")).alias("g")).collect()]
+    assert got[0] == list(dict.fromkeys("".join(chars[i : i + 3]) for i in range(len(chars) - 2)))
+    assert got[1] is None and got[2] == [] and got[3] == ["x" + search.END]
+    plan = df.select(search._grams(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    search.build_index(df.selectExpr("t AS k", "t"), "k", "t", str(tmp_path / "index"), 2)
+    assert spark.read.parquet(str(tmp_path / "index" / "texts")).count() == 3
