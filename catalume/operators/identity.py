@@ -287,10 +287,10 @@ def find_rows(incoming: DataFrame, rows: DataFrame, sources: DataFrame) -> DataF
     rest = (*sides, "slug", "episodes")
     own = [F.col(c) for c in ("media_type", "tmdb_id", "tmdb_media", "tmdb_season", "imdb", "year", "original", "title")]
     source = lambda c, n: F.struct(F.lit(1).alias("rule"), F.concat_ws("|", F.lit(n), "provider", c).alias("key"))
-    named = F.coalesce(marked_season(F.col("raw_title"), F.col("slug")), F.lit(1)).alias("named")
-    asked = incoming.select("rec", "provider", F.struct(*rest, named).alias("i"), F.explode(F.array_compact(F.array(source("provider_id", "id"), source("slug", "slug"), *_row_keys(*own)))).alias("k"))
-    asked = asked.where("k.rule != 4 or provider = 'a'").select("rec", "i", "k.*")
-    held = rows.select("id", "created", "state", F.struct(*rest).alias("r"), F.explode(F.array_compact(F.array(*_row_keys(*own)))).alias("k")).select("id", "created", "state", "r", "k.*")
+    named = F.when((F.col("provider") == "a") & (F.col("original") != ""), F.coalesce(marked_season(F.col("raw_title"), F.col("slug")), F.lit(1))).alias("named")  # for rule 4
+    asked = incoming.select("rec", "provider", F.struct(*rest, named).alias("i"), F.explode(F.array(source("provider_id", "id"), source("slug", "slug"), *_row_keys(*own))).alias("k"))
+    asked = asked.where("k is not null and (k.rule != 4 or provider = 'a')").select("rec", "i", "k.*")
+    held = rows.select("id", "created", "state", F.struct(*rest).alias("r"), F.explode(F.array(*_row_keys(*own))).alias("k")).where("k is not null").select("id", "created", "state", "r", "k.*")
     for c, n in (("provider_id", "id"), ("provider_slug", "slug")):
         if c in sources.columns:
             blank = [F.lit(None).cast(held.schema[x].dataType).alias(x) for x in ("created", "state", "r")]
@@ -300,10 +300,11 @@ def find_rows(incoming: DataFrame, rows: DataFrame, sources: DataFrame) -> DataF
     rule, season = F.col("rule"), F.col("r.tmdb_season")
     fits = F.when(rule == 3, ~F.col("clash")).when(rule == 4, F.coalesce((F.col("state") == "ready") & (season == F.col("i.named")), F.lit(False))).when(rule >= 5, season.isNull()).otherwise(True)
     order = F.struct(F.when(rule == 1, F.when(F.col("key").startswith("id|"), 0).otherwise(1)).when(rule == 3, F.coalesce(season, F.lit(-1))).otherwise(0).alias("a"), "created", "id")
-    best = met.where(fits).groupBy("rec", "rule").agg(F.min_by(F.struct("id", "clash", "i", "r"), order).alias("b"), F.count("*").alias("n"))
-    most, least = (f(F.col("b.i.episodes"), F.col("b.r.episodes")) for f in (F.greatest, F.least))
-    alone = (F.col("n") == 1) & slugs_agree(F.col("b.i.slug"), F.col("b.r.slug")) & F.coalesce((least <= 0) | (most / least <= 1.5), F.lit(True))
-    exact = best.where((rule != 4) | alone).select("rec", "rule", "b.id", "b.clash")
+    most, least = (f(F.col("i.episodes"), F.col("r.episodes")) for f in (F.greatest, F.least))
+    near = F.when(rule == 4, slugs_agree(F.col("i.slug"), F.col("r.slug")) & F.coalesce((least <= 0) | (most / least <= 1.5), F.lit(True)))
+    best = met.where(fits).select("rec", "rule", order.alias("o"), F.struct("id", "clash", near.alias("near")).alias("b"))
+    best = best.groupBy("rec", "rule").agg(F.min_by("b", "o").alias("b"), F.count("*").alias("n"))
+    exact = best.where((rule != 4) | ((F.col("n") == 1) & F.col("b.near"))).select("rec", "rule", "b.id", "b.clash")
 
     listed = lambda c: F.array_remove(F.split(c, " "), "")  # noqa: E731  an empty name is like no other
     words = lambda df: df.withColumn("_o", listed("original")).withColumn("_w", listed("title"))

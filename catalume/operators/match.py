@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +45,23 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: list
     """For each row of ``left`` the first row of ``right`` (columns prefixed r_) in its block whose greatest Dice similarity over the
     word columns ``words`` is ``least`` or more, among the block's first ``oldest`` rows by ``order``.
 
-    Word sets are matched, not rows: of the right rows with one set only the first can be found, and repeated left rows ask once.
+    Word sets are matched, not rows: of the right rows with one set only the first can be found, and repeated left rows ask once. Sets
+    of so few words that one word more or less makes them unlike are looked up as they are.
     """
     rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
     kept = right.withColumn("_rank", rank).where(F.col("_rank") <= oldest).drop("_rank")
     of = lambda c: F.array_sort(F.array_distinct(c))
-    place, out = (lambda r: F.struct(*[F.col(f"{r}.{c}") for c in order])), left
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("_n"), of(c).alias("_set")) for n, c in enumerate(words)])).alias("_s")
+    sets = lambda df, *more: df.select(*block, *more, each).select(*block, *more, "_s.*").where("size(_set) > 0")
+    place, keys, out = (lambda r: F.struct(*[F.col(f"{r}.{c}") for c in order])), ["_n", *block], left
+    heads = cut(sets(kept.withColumn("_row", F.struct(*right.columns)), "_row").groupBy(*keys, "_set").agg(F.min_by("_row", place("_row")).alias("_row")))
+    # n and n + 1 words have a similarity of 2n / (2n + 1) at most, n and n others less
+    long = F.size("_set") >= (math.ceil(least / (2 - 2 * least) - 1e-6) if least < 1 else sys.maxsize)
+    found = similar_sets(sets(left).where(long), heads.where(long), keys, "_set", least).join(heads.withColumnRenamed("_set", "r"), [*keys, "r"])
+    best = heads.where(~long).unionByName(found.groupBy(*keys, F.col("l").alias("_set")).agg(F.min_by("_row", place("_row")).alias("_row")))
     for n, c in enumerate(words):
-        heads = kept.groupBy(*block, of(c).alias("r")).agg(F.min_by(F.struct(*right.columns), F.struct(*order)).alias("_row"))
-        found = similar_sets(left, kept, block, c, least).join(heads, [*block, "r"])
-        best = found.groupBy(*block, F.col("l").alias("_set")).agg(F.min_by("_row", place("_row")).alias(f"_r{n}"))
-        out = out.withColumn("_set", of(c)).join(best, [*block, "_set"], "left").drop("_set")
+        own = best.where(F.col("_n") == n).select(*block, "_set", F.col("_row").alias(f"_r{n}"))
+        out = out.withColumn("_set", of(c)).join(own, [*block, "_set"], "left").drop("_set")
     firsts = [F.when(F.col(f"_r{n}").isNotNull(), F.struct(place(f"_r{n}").alias("at"), F.col(f"_r{n}").alias("row"))) for n in range(len(words))]
     out = out.withColumn("_m", (F.least(*firsts) if len(firsts) > 1 else firsts[0])["row"]).where("_m is not null")
     score = F.array_max(F.array(*[F.coalesce(dice(F.col(c), F.col(f"_m.{c}")), F.lit(0.0)) for c in words]))

@@ -25,7 +25,7 @@ LONG = 25  # from so many words on two lists may be similar without being equal
 
 
 def _words(text: Column) -> Column:
-    found = F.array_sort(F.array_distinct(F.split(text, " ")))
+    found = F.sort_array(F.array_distinct(F.split(text, " ")))
     return F.when(F.size(found) >= LONG, F.lit("*")).otherwise(F.array_join(found, " "))
 
 
@@ -40,9 +40,9 @@ def record_keys(records: DataFrame) -> DataFrame:
         TUPLE: [_tuple()], SERIES: [F.when(F.col("tmdb_id").isNotNull(), F.concat_ws("|", "tmdb_media", F.col("tmdb_id").cast("string")))], IMDB: [F.when(F.col("imdb").isNotNull(), F.concat_ws("|", "imdb", "media_type"))], ORIGINAL: [dated(F.col("original"), F.col("original"))],
         TITLE: [dated(F.col("title"), F.col("title"))], WORDS: [dated(_words(F.col(c)), F.col(c)) for c in ("original", "title")],
     }
-    each = F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(cls).alias("cls"), k.alias("key"))) for cls, own in keys.items() for k in own]))
+    each = F.array(*[F.when(k.isNotNull(), F.struct(F.lit(cls).alias("cls"), k.alias("key"))) for cls, own in keys.items() for k in own])
     more = [c for c in ("tmdb_season", "id", "rule", "_no_tmdb", "_no_imdb") if c in records.columns]
-    return records.select("rec", *more, _tuple().alias("sig"), F.explode(F.array_distinct(each)).alias("k")).select("rec", *more, "sig", "k.*")
+    return records.select("rec", *more, _tuple().alias("sig"), F.explode(each).alias("k")).where("k is not null").select("rec", *more, "sig", "k.*")
 
 
 def settled(open_: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
@@ -50,12 +50,12 @@ def settled(open_: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
 
     A record without a row waits for earlier ones without a row that share a key with it; any record waits for earlier ones that are about
     to fill the tuple or IMDb id by which a stronger rule than its own would find their row, for one that is about to give its own
-    row another tuple, and for those that may take an IMDb id that only one row without a season has.
+    row another tuple, and for those that may take an IMDb id that only one row without a season has. ``at`` is the place of ``rec``.
     """
     open_season = (F.col("tmdb_media") == "tv") & F.col("tmdb_season").isNull()
     blank = known.select("id", (F.col("tmdb_id").isNull() | open_season).alias("_no_tmdb"), F.col("imdb").isNull().alias("_no_imdb"))
     state = cut(open_.join(found.join(blank, "id"), "rec", "left"))
-    keys = record_keys(state)
+    keys = record_keys(state.withColumn("rec", F.col("at")))  # least numbers are found without sorting
     fills = (F.col("cls").isin(TUPLE, SERIES) & F.col("_no_tmdb")) | ((F.col("cls") == IMDB) & F.col("_no_imdb"))
     senders = keys.where(F.col("id").isNull() | fills)
     least = senders.groupBy("cls", "key").agg(F.min("rec").alias("_all"), F.min(F.when(F.col("sig").isNull(), F.col("rec"))).alias("_bare"), F.min(F.when(F.col("tmdb_season").isNull(), F.col("rec"))).alias("_lone"))
@@ -67,11 +67,11 @@ def settled(open_: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
     met = asks.join(least, ["cls", "key"]).join(same, ["cls", "key", "sig"], "left")
     first = F.when(F.col("sig").isNull(), F.col("_all")).otherwise(F.least("_bare", "_same"))
     waits = met.where((F.col("_affected") & (first < F.col("rec"))) | (F.col("_claims") & (F.col("_lone") < F.col("rec"))) | (F.col("_gives") & (F.col("_all") < F.col("rec")))).select("rec")
-    named = state.where(F.col("_no_tmdb")).withColumn("sig", _tuple()).where("sig is not null")
+    named = state.where(F.col("_no_tmdb")).withColumn("rec", F.col("at")).withColumn("sig", _tuple()).where("sig is not null")
     takes = named.groupBy("id").agg(F.min(F.struct("rec", "sig")).alias("_first"))
     rivals = named.where("rule >= 3").join(takes, "id").where((F.col("_first.rec") < F.col("rec")) & (F.col("_first.sig") != F.col("sig"))).select("rec")
-    waits = waits.unionByName(rivals).distinct().withColumn("_waits", F.lit(True))
-    return state.join(waits, "rec", "left").withColumn("settled", F.col("_waits").isNull()).drop("rule", "_no_tmdb", "_no_imdb", "_waits")
+    waits = waits.unionByName(rivals).distinct().select(F.col("rec").alias("at"), F.lit(True).alias("_waits"))
+    return state.join(waits, "at", "left").withColumn("settled", F.col("_waits").isNull()).drop("rule", "_no_tmdb", "_no_imdb", "_waits")
 
 
 def _filled(known: DataFrame, attached: DataFrame) -> DataFrame:
@@ -96,6 +96,7 @@ def resolve_records(records: DataFrame, known: DataFrame, sources: DataFrame) ->
     ``known`` has ``pinned`` as well. Records are taken in the order of ``rec``; a row answers to the names it had or was made with.
     """
     open_, known, done = cut(records), cut(known), None
+    open_ = cut(open_.orderBy("rec").withColumn("at", F.monotonically_increasing_id()))
     remaining, new_id = open_.count(), F.concat(F.lit("~"), "rec")  # among made rows the older comes first
     while remaining:
         judged = cut(settled(open_, find_rows(open_, known.drop("pinned"), sources), known))

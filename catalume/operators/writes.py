@@ -32,12 +32,16 @@ def unique_slugs(new: DataFrame, taken: DataFrame, key: str, title: str, year: s
     second = ~F.col("_first") & F.col("_dated").isNotNull() & F.col("_dated_used").isNull() & (turn("base", "_year", "_first") == 1)
     tried = tried.withColumn("_second", second).withColumn("_rest", ~F.col("_first") & ~F.col("_second"))
     tried = tried.withColumn("_turn", F.when(F.col("_rest"), turn("base", "_rest")))
-    numbers = rows.select("base").distinct().select("base", F.explode(F.sequence(F.lit(2), F.lit(most))).alias("_k"))
-    numbers = numbers.withColumn("slug", F.concat_ws("-", "base", F.col("_k").cast("string"))).join(gone, "slug", "left_anti")
-    numbers = numbers.withColumn("_turn", F.row_number().over(Window.partitionBy("base").orderBy("_k"))).select("base", "_turn", F.col("slug").alias("_numbered"))
+    # a number is taken where a slug is the base and that number; of the free ones the turn tells which
+    last = F.substring_index("slug", "-", -1)
+    number = F.when(F.col("slug").contains("-") & last.rlike("^[1-9][0-9]*$"), last.try_cast("int"))
+    held = gone.select(F.left("slug", F.length("slug") - F.length(last) - 1).alias("base"), number.alias("_k")).where(F.col("_k").between(2, most))
+    held = held.groupBy("base").agg(F.collect_set("_k").alias("_held"))
+    free = F.array_except(F.sequence(F.lit(2), F.lit(most)), F.coalesce("_held", F.array().cast("array<int>")))
     name = F.when(F.col("_first"), F.col("base")).when(F.col("_second"), F.col("_dated"))
-    name = name.otherwise(F.coalesce("_numbered", F.concat_ws("-", "base", F.col(key).cast("string"))))
-    return tried.join(numbers, ["base", "_turn"], "left").select(key, name.alias("slug"))
+    numbered = F.try_element_at(free, F.col("_turn")).cast("string")
+    name = name.otherwise(F.concat_ws("-", "base", F.coalesce(numbered, F.col(key).cast("string"))))
+    return tried.join(held, "base", "left").select(key, name.alias("slug"))
 
 
 def dimension_keys(stored: DataFrame, values: DataFrame, value: str) -> DataFrame:
