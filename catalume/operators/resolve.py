@@ -73,6 +73,14 @@ def show_season(row: Column, show: Column) -> Column:
 ROW = ("tmdb_id", "tmdb_media", "tmdb_season", "imdb", "display", "pinned", "title", "slug", "original", "year", "total")
 
 
+def met_by(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` left joined with ``other``. Rows whose first column of ``on`` is null meet nothing and are not moved: a join would send
+    all of them to one task."""
+    keyed = F.col(on[0]).isNotNull()
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema if f.name not in on]
+    return rows.where(keyed).join(other, on, "left").unionByName(rows.where(~keyed).select("*", *blank))
+
+
 def decide(rows: DataFrame, reviews: DataFrame, settings: Settings) -> DataFrame:
     """``rows`` (id, ROW, claims, ...) with ``row``, ``key``, ``skipped`` and ``d``, the decision (null if skipped)."""
     row = F.struct(*[F.col(c) for c in ROW])
@@ -85,13 +93,16 @@ def decide(rows: DataFrame, reviews: DataFrame, settings: Settings) -> DataFrame
 def look_up(decided: DataFrame, bodies: DataFrame, settings: Settings, bucket: Column) -> DataFrame:
     """Adds ``e`` (action, tier, reason, tmdb_id, media, season, detail, from_show), the decision after at most two lookups;
     ``lookups`` (made), ``failed`` (answers that are not there) and ``missed`` (a lookup was refused or failed)."""
-    landed = bodies.select("path", F.from_json("body", BODY).alias("body"), F.lit(True).alias("there"))
-    answer = lambda n: landed.select(F.col("path").alias(f"_p{n}"), F.col("body").alias(f"_b{n}"), F.col("there").alias(f"_t{n}"))
+
+    def answered(asking: DataFrame, n: int) -> DataFrame:
+        answers = bodies.select(F.col("path").alias(f"_p{n}"), F.col("body").alias(f"_b{n}"), F.lit(True).alias(f"_t{n}"))
+        return met_by(asking, answers, [f"_p{n}"]).withColumn(f"_b{n}", F.from_json(f"_b{n}", BODY))  # only what is asked for is parsed
+
     d = F.col("d")
     own = F.array_compact(F.array_distinct(F.transform("claims", lambda c: c["imdb"])))
     imdb = F.coalesce("imdb", F.when(F.size(own) == 1, F.try_element_at(own, F.lit(1))))
     first = decided.withColumn("_imdb", imdb).withColumn("_p1", F.when(d["action"] == "find", F.concat(F.lit("/find/"), "_imdb", F.lit("?external_source=imdb_id"))))
-    found = first.join(answer(1), "_p1", "left").withColumn("_hit", only_result(F.col("_b1")))
+    found = answered(first, 1).withColumn("_hit", only_result(F.col("_b1")))
     hit, asked = F.col("_hit"), F.col("_p1").isNotNull()
     odd = type_conflict(F.col("display"), hit["media"])
 
@@ -111,7 +122,7 @@ def look_up(decided: DataFrame, bodies: DataFrame, settings: Settings, bucket: C
     resolves = F.col("_action") == "resolve-season"
     checks = (F.col("_action") == "assign") & F.col("_reason").isin(*VERIFIED) & F.lit(settings.verify)
     path = F.when(resolves, F.concat(F.lit("/tv/"), F.col("_tmdb_id").cast("string"))).when(checks, F.concat_ws("/", F.lit(""), "_media", F.col("_tmdb_id").cast("string")))
-    both = found.withColumn("_p2", path).join(answer(2), "_p2", "left")
+    both = answered(found.withColumn("_p2", path), 2)
 
     wants = F.col("_p1").isNotNull().cast("int") + F.col("_p2").isNotNull().cast("int")
     counted = running_totals(cut(both.withColumn("_wants", wants)), [], bucket, ["id"], F.col("_wants"), "_upto")
@@ -179,11 +190,11 @@ def fill_imdb(judged: DataFrame, stored: DataFrame, settings: Settings) -> DataF
     held = stored.where("imdb is not null").join(rows.select("id", F.col("_after"), F.lit(True).alias("_in")), "id", "left")
     now = F.when(F.col("_in"), F.col("_after")).otherwise(F.col("season"))
     held = held.groupBy("imdb", "display").agg(F.max(F.when(F.col("season").isNull(), F.col("id"))).alias("_before"), F.min(F.when(now.isNull(), F.col("id"))).alias("_now"))
-    keyed = rows.join(held.withColumnRenamed("imdb", "_imdb"), ["_imdb", "display"], "left")
+    keyed = met_by(rows, held.withColumnRenamed("imdb", "_imdb"), ["_imdb", "display"])
     free = F.col("tmdb_season").isNotNull() | ~F.coalesce((F.col("_before") > F.col("id")) | (F.col("_now") < F.col("id")), F.lit(False))
     keyed = cut(keyed.withColumn("_free", F.col("_asks") & free))
     earlier = keyed.where(F.col("_free") & F.col("_after").isNull()).groupBy("_imdb", "display").agg(F.min("id").alias("_filler"))
-    out = keyed.join(earlier, ["_imdb", "display"], "left")
+    out = met_by(keyed, earlier, ["_imdb", "display"])
     taken = ~F.col("_free") | (F.col("tmdb_season").isNull() & F.coalesce(F.col("_filler") < F.col("id"), F.lit(False)))
     able = settings.enabled(F.lit("fill"))
     outcome = F.when(F.col("_asks"), F.when(~able, "imdb-planned").when(taken, "imdb-taken").otherwise("imdb-filled")).when(~F.col("skipped") & (F.col("d.imdb_action") == "conflict"), "imdb-conflict")

@@ -1,8 +1,10 @@
-"""What grows with the tables: rows that a step makes of each row."""
+"""What grows with the tables: rows that a step makes of each row, and rows that meet in one task."""
 
 from __future__ import annotations
 
-from catalume.operators import match, writes
+from pyspark.sql import functions as F
+
+from catalume.operators import match, resolve, writes
 
 
 def test_numbers_of_slugs_are_no_rows(spark):
@@ -28,3 +30,18 @@ def test_short_sets_meet_only_their_equals(spark, monkeypatch):
     got = match.fuzzy_match(left, right, ["g"], ["w", "v"], 0.96, ["k"])
     assert sorted((r.k, r.r_k, round(r.score, 4)) for r in got.collect()) == [(1, 10, 0.96), (3, 12, 1.0), (4, 11, 1.0)]
     assert [sorted(len(r[0]) for r in side.select("_set").collect()) for side in seen] == [[12, 13], [12]]
+
+
+def test_rows_that_ask_nothing_stay_where_they_are(spark):
+    """All rows without a path met in the task of the null key."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.concat(F.lit("/"), "id")).alias("p"), F.lit(1).alias("d"))
+    other = spark.range(0, 4000, 200).select(F.concat(F.lit("/"), "id").alias("p"), F.lit(1).alias("d"), F.lit(True).alias("there"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = resolve.met_by(rows, other, ["p", "d"])
+        found = out.groupBy(F.spark_partition_id().alias("n")).agg(F.count("*").alias("c")).collect()
+        told = {r.id: r.there for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(told) == 4000 and {k for k, v in told.items() if v} == set(range(0, 4000, 200))
+    assert max(r.c for r in found) < 1000
