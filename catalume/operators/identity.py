@@ -275,7 +275,8 @@ def _row_keys(media_type: Column, tmdb_id: Column, media: Column, season: Column
 def find_rows(incoming: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rec, id, rule: the row each incoming record belongs to, by the first of seven rules that finds one: its source (1), its id
     tuple (2), IMDb id and type (3), for provider a the original title with the season it names (4), original title (5), title (6),
-    similar title (7). A row whose season or ids contradict the record is passed over by rule 3 and refused after rules 4 to 7.
+    similar title (7), among all rows of its year and type. A row whose season or ids contradict the record is passed over by rule 3
+    and refused after rules 4 to 7.
 
     incoming: rec, provider, provider_id, slug, raw_title, media_type, tmdb_id, tmdb_media, tmdb_season, season, imdb, year, original,
     title (both normalised), episodes; sources: provider, provider_id, id and perhaps provider_slug, which counts after the id; rows:
@@ -309,7 +310,7 @@ def find_rows(incoming: DataFrame, rows: DataFrame, sources: DataFrame) -> DataF
     listed = lambda c: F.array_remove(F.split(c, " "), "")  # noqa: E731  an empty name is like no other
     words = lambda df: df.withColumn("_o", listed("original")).withColumn("_w", listed("title"))
     left, right = words(incoming.select("rec", "year", "original", "title", *sides)), words(rows.where("tmdb_season is null").select("id", "created", "year", "original", "title", *sides))
-    alike = fuzzy_match(left, right, ["year", "media_type"], ["_o", "_w"], 0.96, ["created", "id"])
+    alike = fuzzy_match(left, right, ["year", "media_type"], ["_o", "_w"], 0.96, ["created", "id"], oldest=None)
     sides_of = lambda prefix: F.struct(*[F.col(prefix + c).alias(c) for c in sides])
     alike = alike.select("rec", F.lit(7).alias("rule"), F.col("r_id").alias("id"), F.coalesce(identity_conflict(sides_of("r_"), sides_of("")).isNotNull(), F.lit(False)).alias("clash"))
     first = exact.unionByName(alike).groupBy("rec").agg(F.min_by(F.struct("id", "rule", "clash"), "rule").alias("f")).select("rec", "f.*")

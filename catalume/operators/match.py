@@ -41,15 +41,15 @@ def similar_sets(left: DataFrame, right: DataFrame, block: list[str], words: str
     return met.withColumn("score", dice(F.col("l"), F.col("r"))).where(F.col("score") >= least)
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: list[str], least: float, order: list[str], oldest: int = 100) -> DataFrame:
+def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], words: list[str], least: float, order: list[str], oldest: int | None = 100) -> DataFrame:
     """For each row of ``left`` the first row of ``right`` (columns prefixed r_) in its block whose greatest Dice similarity over the
-    word columns ``words`` is ``least`` or more, among the block's first ``oldest`` rows by ``order``.
+    word columns ``words`` is ``least`` or more, among the block's first ``oldest`` rows by ``order`` (None: all of its rows).
 
     Word sets are matched, not rows: of the right rows with one set only the first can be found, and repeated left rows ask once. Sets
     of so few words that one word more or less makes them unlike are looked up as they are.
     """
     rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
-    kept = right.withColumn("_rank", rank).where(F.col("_rank") <= oldest).drop("_rank")
+    kept = right if oldest is None else right.withColumn("_rank", rank).where(F.col("_rank") <= oldest).drop("_rank")
     of = lambda c: F.array_sort(F.array_distinct(c))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("_n"), of(c).alias("_set")) for n, c in enumerate(words)])).alias("_s")
     sets = lambda df, *more: df.select(*block, *more, each).select(*block, *more, "_s.*").where("size(_set) > 0")

@@ -376,6 +376,19 @@ def test_find_rows(spark):
     assert got == {"source": (4, 1), "tuple": (2, 2), "imdb": (2, 3), "season": (2, 4), "original": (4, 5), "title": (3, 6), "alike": (3, 7)}
 
 
+def test_find_rows_compares_titles_with_all_rows_of_a_year(spark):
+    """Rule 7 looked at the first 100 rows of a year and type only, so of 130 rows the last 30 were like no record."""
+    fields = "id long, created timestamp, state string, slug string, media_type string, tmdb_id long, tmdb_media string, tmdb_season int, season int, imdb string, year int, original string, title string, episodes int"
+    long = " ".join(f"w{i:02d}" for i in range(12))
+    title = lambda i: {120: "the last of all", 125: long}.get(i, f"plain {i}")
+    rows = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, 0, 0, i % 60) + dt.timedelta(minutes=i), "ready", f"s{i}", "movie", None, None, None, None, None, 2010, "", title(i), None) for i in range(130)], fields)
+    names = "rec string, provider string, provider_id string, slug string, raw_title string, media_type string, tmdb_id long, tmdb_media string, tmdb_season int, season int, imdb string, year int, original string, title string, episodes int"
+    asked = {"early": "3 plain", "late": "all of the last", "longer": f"{long} more", "none": "all of the first"}
+    incoming = spark.createDataFrame([(rec, "b", rec, rec, rec, "movie", None, None, None, None, None, 2010, "", t, None) for rec, t in asked.items()], names)
+    got = {r.rec: (r.id, r.rule) for r in identity.find_rows(incoming, rows, spark.createDataFrame([], "provider string, provider_id string, id long")).collect()}
+    assert got == {"early": (3, 7), "late": (120, 7), "longer": (125, 7)}
+
+
 def test_all_letters_fold_and_the_class_of_the_spread_ones_is_short(spark):
     """A class of 167 ranges was tried at each character, and each character of a text with one such letter was sought in a list."""
     import unicodedata
