@@ -12,9 +12,11 @@ have equal anchors at equal places, so two windows are equal if the texts agree
    smallest doc_id. Splitters, sampled from the suffixes of a few chunks, range-partition them by their leading bytes. Suffixes
    that start with a hot string are not kept together by it: each of their windows is a suffix by itself and is dealt by all
    its bytes. So a bucket gets at most ``hot`` suffixes of one beginning and each window once from a chunk.
-3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time among those still tied, and the reversed bytes
-   before them likewise. Windows with one offset from their anchors are equal if they are in one run of both orders, runs being
-   cut where the common prefix is too short. Each suffix is answered with a bit for each offset: a smaller doc_id has it.
+   The chunks looked at grow with the table, as its parts may differ.
+3. A bucket sorts its suffixes, in portions of whole beginnings if it is large, by multikey quicksort, eight bytes at a time among
+   those still tied, and the reversed bytes before them likewise. Windows with one offset from their anchors are equal if they are
+   in one run of both orders, runs being cut where the common prefix is too short. Each suffix is answered with a bit for each
+   offset: a smaller doc_id has it.
 4. Chunks mark the bytes that go; pieces of long texts are put together again.
 
 Chunks and pieces overlap by ``WIDTH`` - 1 bytes and buckets are cut between different leading bytes only, so no window is lost
@@ -41,6 +43,7 @@ from catalume.llm.tree_scoring import gaps, loose, squeezed, summed
 WIDTH = 50
 GRAM = 24
 BACK = WIDTH - GRAM  # an anchor stands 0 to BACK bytes after the start of its window
+BLOCK = 1 << 16  # suffixes whose bytes are looked at together
 LATER = np.iinfo(np.int64).max
 
 
@@ -92,8 +95,11 @@ def next_below(at: np.ndarray, h: np.ndarray, step: int, equal: bool) -> np.ndar
     return found
 
 
-def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows of the pieces data[start:end], and each one's least and greatest distance from a start of its windows."""
+def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows of the pieces data[start:end], and each one's least and greatest distance from a start of its windows.
+
+    The bytes are gone through in blocks, each with as many bytes around it as its anchors depend on, so hashes are not held for all.
+    """
     none = np.zeros(0, np.int64)
     whole = ends - starts >= WIDTH
     if not whole.any():
@@ -101,17 +107,23 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts[whole]] += 1
     edge[ends[whole] - WIDTH + 1] -= 1
-    h = all_grams(data)
-    least = sliding(h, BACK + 1, np.minimum)
-    least[np.cumsum(edge, dtype=np.int8)[: len(least)] == 0] = 0
-    most = sliding(np.concatenate([np.zeros(BACK, np.uint64), least, np.zeros(BACK, np.uint64)]), BACK + 1, np.maximum)
-    at = np.flatnonzero(h == most)
-    own = h[at]
-    piece = np.searchsorted(starts, at, "right") - 1
-    low = np.maximum(np.maximum(next_below(at, own, -1, True) + 1, at - BACK), starts[piece])
-    high = np.minimum(np.minimum(next_below(at, own, 1, False) - BACK - 1, at), ends[piece] - WIDTH)
-    some = low <= high
-    return at[some], (at - high)[some], (at - low)[some]
+    inside, around, found = np.cumsum(edge, dtype=np.int8) > 0, 4 * BACK, []
+    for base in range(0, len(data), block):
+        lo, hi = max(0, base - around), min(len(data), base + block + around)
+        if not inside[lo:hi].any():
+            continue
+        h = all_grams(data[lo : hi + WIDTH])
+        least = sliding(h, BACK + 1, np.minimum)
+        least[~inside[lo : lo + len(least)]] = 0
+        most = sliding(np.concatenate([np.zeros(BACK, np.uint64), least, np.zeros(BACK, np.uint64)]), BACK + 1, np.maximum)
+        at = np.flatnonzero(h == most)
+        own, at = h[at], at + lo
+        piece = np.searchsorted(starts, at, "right") - 1
+        low = np.maximum(np.maximum(next_below(at, own, -1, True) + 1, at - BACK), starts[piece])
+        high = np.minimum(np.minimum(next_below(at, own, 1, False) - BACK - 1, at), ends[piece] - WIDTH)
+        some = (low <= high) & (at >= base) & (at < base + block)
+        found.append((at[some], (at - high)[some], (at - low)[some]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def range_part(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
@@ -126,20 +138,22 @@ def by_part(part: np.ndarray):
     return [(int(part[lo]), slice(int(lo), int(hi))) for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True)]
 
 
+SLICE = 256 << 10  # bytes of a saved text in one row; Spark holds rows, their pages and row groups as a whole
+ROW_GROUP = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10, "parquet.enable.dictionary": "false"}
 SCHEMA = "kind int, chunk long, part int, a binary, b binary, c binary, ids array<long>, rows array<long>, pieces array<int>"
 TEXT, GRAMS, COPIES, SUFFIXES, STATE = range(5)
 
 
 def message(kind: int, chunk: int, part: list[int], a: list, b: list, c: list, lists=(None, None, None)) -> pa.RecordBatch:
     n = len(part)
-    tail = [pa.nulls(n, pa.list_(t)) if x is None else pa.array([x], pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+    tail = [pa.nulls(n, pa.list_(t)) if x is None else pa.array([x] + [None] * (n - 1), pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
     head = [pa.array(np.full(n, kind), pa.int32()), pa.array(np.full(n, chunk), pa.int64()), pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c))]
     return pa.RecordBatch.from_arrays([*head, *tail], ["kind", "chunk", "part", "a", "b", "c", "ids", "rows", "pieces"])
 
 
 def chunked(docs: DataFrame, parts: int, bits: int, chunk_bytes: int, folder: str) -> None:
-    """Writes, by kind: TEXT (a: lengths of pieces, parts of their digests and the bytes, b: anchors, c: their distances; lists: doc_id, row and number of
-    each piece), GRAMS (a: sorted hashes, b: counts) and COPIES (a, b: digests of texts, c: doc_ids)."""
+    """Writes, by kind: TEXT (a: lengths of pieces, parts of their digests and the bytes, in slices numbered by part; in the first, b: anchors, c: their
+    distances; lists: doc_id, row and number of each piece), GRAMS (a: sorted hashes, b: counts) and COPIES (a, b: digests of texts, c: doc_ids)."""
 
     def close(chunk: int, held: list):
         texts, ids, rows, pieces, digests = (list(x) for x in zip(*held, strict=True))
@@ -150,8 +164,10 @@ def chunked(docs: DataFrame, parts: int, bits: int, chunk_bytes: int, folder: st
         at, near, far = anchors(data + bytes(64), (ends - lengths)[known], ends[known])
         digest = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
         part = range_part(digest[:, 0], 64, parts)
-        blob = [len(lengths).to_bytes(8, "little") + np.stack([lengths, part]).astype("<i8").tobytes() + data]
-        yield message(TEXT, chunk, [0], blob, [gaps(at)], [squeezed(np.stack([near, far]).astype(np.uint8).reshape(-1))], (ids, rows, pieces))
+        blob = len(lengths).to_bytes(8, "little") + np.stack([lengths, part]).astype("<i8").tobytes() + data
+        blobs = [blob[i : i + SLICE] for i in range(0, len(blob), SLICE)]
+        none = [None] * (len(blobs) - 1)
+        yield message(TEXT, chunk, list(range(len(blobs))), blobs, [gaps(at), *none], [squeezed(np.stack([near, far]).astype(np.uint8).reshape(-1)), *none], (ids, rows, pieces))
         keys, counts = np.unique(anchor_keys(data, at, bits), return_counts=True)
         cuts = by_part(range_part(keys, bits, parts))
         for i in range(0, len(cuts), 256):
@@ -180,7 +196,7 @@ def chunked(docs: DataFrame, parts: int, bits: int, chunk_bytes: int, folder: st
         if held:
             yield from close(base + made, held)
 
-    docs.mapInArrow(task, SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    docs.mapInArrow(task, SCHEMA).write.options(**ROW_GROUP).partitionBy("kind").parquet(folder)
 
 
 def anchor_keys(data: bytes, at: np.ndarray, bits: int) -> np.ndarray:
@@ -218,7 +234,8 @@ class Chunk:
     """A saved chunk."""
 
     def __init__(self, table: pa.Table):
-        blob = table.column("a")[0].as_py()
+        table = table.sort_by("part")
+        blob = b"".join(table.column("a").to_pylist())
         n = int.from_bytes(blob[:8], "little")
         self.lengths, self.asked = np.frombuffer(blob, "<i8", 2 * n, 8).reshape(2, n)
         self.data = blob[8 + 16 * n :]
@@ -257,31 +274,48 @@ class Suffixes:
         plain = np.flatnonzero(alive & shared[place] & ~hot[place])
         split = np.flatnonzero(alive & (shared & hot)[place])
         spans = chunk.far[split] - chunk.near[split] + 1
-        each = np.repeat(split, spans)
-        start = chunk.at[each] - chunk.near[each] - (np.arange(len(each)) - np.repeat(np.cumsum(spans) - spans, spans))
-        nil = np.zeros(len(each), np.int64)
-        self.at = np.concatenate([chunk.at[plain], start])
-        self.near, self.far = np.concatenate([chunk.near[plain], nil]), np.concatenate([chunk.far[plain], nil])
-        self.piece = np.concatenate([chunk.piece[plain], chunk.piece[each]])
+        each = np.repeat(split.astype(np.int32), spans)
+        start = (chunk.at - chunk.near).astype(np.int32)[each] - (np.arange(len(each), dtype=np.int32) - np.repeat((np.cumsum(spans) - spans).astype(np.int32), spans))
+        nil = np.zeros(len(each), np.uint8)
+        self.at = np.concatenate([chunk.at[plain].astype(np.int32), start])
+        self.near, self.far = (np.concatenate([x[plain].astype(np.uint8), nil]) for x in (chunk.near, chunk.far))
+        self.piece = np.concatenate([chunk.piece[plain], chunk.piece[each]]).astype(np.int32)
         whole = np.concatenate([np.zeros(len(plain), bool), np.ones(len(each), bool)])
-        order = np.argsort(chunk.docs[self.piece], kind="stable")
+        order = np.argsort(chunk.docs[self.piece], kind="stable").astype(np.int32)
         self.at, self.near, self.far, self.piece, whole = (x[order] for x in (self.at, self.near, self.far, self.piece, whole))
-        self.contexts = self.cut(chunk.data)
-        found, first, self.record = np.unique(self.contexts.view(f"S{BACK + WIDTH + 2}").reshape(-1), return_index=True, return_inverse=True)
-        self.contexts, self.owner = self.contexts[first], chunk.docs[self.piece[first]]
+        self.contexts, first, self.record = self.distinct(chunk.data)
+        self.owner = chunk.docs[self.piece[first]]
         lead = self.contexts[:, BACK : BACK + WIDTH].copy()
         lead[~whole[first], GRAM:] = 0
         self.leading = lead.view(f"S{WIDTH}").reshape(-1)
 
-    def cut(self, data: bytes) -> np.ndarray:
+    def distinct(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct contexts, sorted, where each is first, and which one each suffix has. Blocks are made distinct one by one, as repeats are many."""
+        room = sliding_window_view(np.frombuffer(bytes(BACK) + data + bytes(WIDTH), np.uint8), BACK + WIDTH)
+        kind, found, held = f"S{BACK + WIDTH + 2}", [], 0
+        record = np.empty(len(self.at), np.int32)
+        for lo in range(0, max(1, len(self.at)), BLOCK):
+            some = slice(lo, lo + BLOCK)
+            contexts = self.cut(room, some)
+            _, first, inverse = np.unique(contexts.view(kind).reshape(-1), return_index=True, return_inverse=True)
+            record[some] = inverse + held
+            found.append((contexts[first], first + lo))
+            held += len(first)
+        contexts, first = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 1:  # blocks follow one another in the order of documents, so the first is the smallest here too
+            _, least, inverse = np.unique(contexts.view(kind).reshape(-1), return_index=True, return_inverse=True)
+            contexts, first, record = contexts[least], first[least], inverse.astype(np.int32)[record]
+        return contexts, first, record
+
+    def cut(self, room: np.ndarray, some: slice) -> np.ndarray:
         """BACK bytes before each suffix, WIDTH of it, and its two distances; bytes that no window needs are 0."""
-        room = np.frombuffer(bytes(BACK) + data + bytes(WIDTH), np.uint8)
-        out = np.zeros((len(self.at), BACK + WIDTH + 2), np.uint8)
-        if len(self.at):
-            out[:, :-2] = sliding_window_view(room, BACK + WIDTH)[self.at]
-            column = np.arange(BACK + WIDTH)
-            out[:, :-2] *= (column >= BACK - self.far[:, None]) & (column < BACK + WIDTH - self.near[:, None])
-            out[:, -2], out[:, -1] = self.near, self.far
+        at, near, far = self.at[some], self.near[some], self.far[some]
+        out = np.zeros((len(at), BACK + WIDTH + 2), np.uint8)
+        if len(at):
+            out[:, :-2] = room[at]
+            column = np.arange(BACK + WIDTH, dtype=np.uint8)
+            out[:, :-2] *= (column >= BACK - far[:, None]) & (column < BACK + WIDTH - near[:, None])
+            out[:, -2], out[:, -1] = near, far
         return out
 
 
@@ -290,7 +324,7 @@ SENT = "kind int, chunk long, part int, a binary, b binary, c binary"
 
 def splitters(texts: DataFrame, answers: DataFrame, bits: int, sampled: int, each: int, bytes_: int, target: int) -> np.ndarray:
     """Leading bytes that cut the suffixes into buckets of about ``target`` bytes, from at most ``sampled`` chunks and ``each`` suffixes of one."""
-    chosen = [r.chunk for r in texts.select("chunk").orderBy(F.xxhash64("chunk")).limit(sampled).collect()]
+    chosen = [r.chunk for r in texts.where("part = 0").select("chunk").orderBy(F.xxhash64("chunk")).limit(sampled).collect()]
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         found, seen = [], 0
@@ -302,15 +336,18 @@ def splitters(texts: DataFrame, answers: DataFrame, bits: int, sampled: int, eac
         return pa.table([pa.array([x for x, _ in found] + [None], pa.binary()), pa.array([n for _, n in found] + [seen], pa.int64())], names=["lead", "n"])
 
     pair = (x.where(F.col("chunk").isin(chosen)).groupBy("chunk") for x in (texts, answers))
-    rows = next(pair).cogroup(next(pair)).applyInArrow(look, "lead binary, n long").collect()  # sampled * each rows at most
-    leads = sorted((bytes(r.lead), r.n) for r in rows if r.lead is not None)
-    seen = sum(r.n for r in rows if r.lead is None)
-    if not leads:
+    rows = next(pair).cogroup(next(pair)).applyInArrow(look, "lead binary, n long").toArrow()  # sampled * each rows at most
+    leads, n = rows.column("lead").to_pylist(), rows.column("n").to_numpy()
+    given = np.array([x is not None for x in leads], bool)
+    seen = int(n[~given].sum())
+    leads, n = np.frombuffer(b"".join(x for x in leads if x is not None), f"S{WIDTH}"), n[given]
+    if not len(leads):
         return np.zeros(0, f"S{WIDTH}")
-    weight = np.cumsum([n for _, n in leads])
+    order = np.argsort(leads, kind="stable")
+    leads, weight = leads[order], np.cumsum(n[order])
     buckets = int(min(len(leads), max(1, weight[-1] * (BACK + WIDTH + 10) * (bytes_ / max(1, seen)) // target)))
     cuts = np.searchsorted(weight, weight[-1] * np.arange(1, buckets) / buckets)
-    return np.unique(np.array([leads[i][0] for i in cuts], f"S{WIDTH}"))
+    return np.unique(leads[cuts])
 
 
 def extract(texts: DataFrame, answers: DataFrame, bits: int, cuts, folder: str) -> None:
@@ -321,9 +358,11 @@ def extract(texts: DataFrame, answers: DataFrame, bits: int, cuts, folder: str)
         own = Suffixes(chunk, right, bits)
         part = np.searchsorted(cuts.value, own.leading, "right")
         order = np.argsort(part, kind="stable")
-        back = np.empty(len(order), np.int64)
+        back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order))
-        where = np.stack([own.at, own.near, own.far, own.piece, back[own.record]]).astype("<u4")
+        where = np.empty((5, len(own.at)), "<u4")
+        for i, x in enumerate((own.at, own.near, own.far, own.piece, back[own.record])):
+            where[i] = x
         rows = [(STATE, 0, squeezed(where.reshape(-1)), own.copy.astype(np.uint8).tobytes(), squeezed(own.owner[order]))]
         rows += [(SUFFIXES, p, squeezed(own.contexts[order[s]].view(f"V{BACK + WIDTH + 2}").reshape(-1)), squeezed(own.owner[order[s]]), None) for p, s in by_part(part[order])]
         kind, part, a, b, c = zip(*rows, strict=True)
@@ -331,7 +370,7 @@ def extract(texts: DataFrame, answers: DataFrame, bits: int, cuts, folder: str)
         return pa.table([pa.array(kind, pa.int32()), number, pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c))], names=["kind", "chunk", "part", "a", "b", "c"])
 
     sent = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(task, SENT)
-    sent.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    sent.write.options(**ROW_GROUP).partitionBy("kind").parquet(folder)
 
 
 def sorted_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,16 +425,31 @@ def judged(contexts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return bits
 
 
+def portions(contexts: np.ndarray, most: int = BLOCK) -> list[np.ndarray]:
+    """Places of suffixes that are judged together: those that start with one string of GRAM bytes, and fewer than ``most`` others."""
+    n = len(contexts)
+    if n <= most:
+        return [np.arange(n)]
+    lead = np.ascontiguousarray(contexts[:, BACK : BACK + GRAM]).view(">u8").astype(np.uint64)
+    order = np.lexsort((lead[:, 2], lead[:, 1], lead[:, 0]))
+    lead = lead[order]
+    starts = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]).any(1)]))
+    cuts = starts[np.unique(np.searchsorted(starts, np.arange(most, n, most), "right") - 1)]
+    return [x for x in np.split(order, cuts) if len(x)]
+
+
 def sort_buckets(sent: DataFrame) -> DataFrame:
-    """chunk, kind, part, data: bits for the suffixes of each chunk and bucket."""
+    """chunk, kind, part, data: bits for the suffixes of each chunk and bucket. A bucket that is larger than meant is judged in portions."""
 
     def group(table: pa.Table) -> pa.Table:
         width = BACK + WIDTH + 2
         contexts = [loose(x, f"V{width}").view(np.uint8).reshape(-1, width) for x in table.column("a").to_pylist()]
         docs = np.concatenate([loose(x, "<i8") for x in table.column("b").to_pylist()])
-        bits = judged(np.concatenate(contexts), docs)
-        ends = np.cumsum([len(x) for x in contexts])
-        data = [squeezed(bits[hi - len(x) : hi].astype("<u4")) for x, hi in zip(contexts, ends, strict=True)]
+        sizes = [len(x) for x in contexts]
+        contexts, bits = np.concatenate(contexts), np.empty(len(docs), np.uint32)
+        for some in portions(contexts):
+            bits[some] = judged(contexts[some], docs[some])
+        data = [squeezed(bits[hi - n : hi].astype("<u4")) for n, hi in zip(sizes, np.cumsum(sizes), strict=True)]
         return pa.table([table.column("chunk"), pa.array([SUFFIXES] * len(data), pa.int32()), table.column("part"), pa.array(data, pa.binary())], names=["chunk", "kind", "part", "data"])
 
     return sent.groupBy("part").applyInArrow(group, "chunk long, kind int, part int, data binary")
@@ -475,11 +529,12 @@ def dedup_substrings(docs: DataFrame, hot: int = 20_000, chunk_bytes: int = 4 <<
     parts = min(1 << 24, max(task_count(spark), size >> 25))
     chunked(docs, parts, bits, chunk_bytes, folder)
     whole = spark.read.schema(SCHEMA).parquet(folder)
-    texts = whole.where(F.col("kind") == TEXT).select("chunk", "a", "b", "c", "ids", "rows", "pieces")
+    texts = whole.where(F.col("kind") == TEXT).select("chunk", "part", "a", "b", "c", "ids", "rows", "pieces")
     answers = scratch.save(merge(whole.where(F.col("kind").isin(GRAMS, COPIES)).select("kind", "chunk", "part", "a", "b", "c"), hot), "answers")
     for kind in (GRAMS, COPIES):
         delete(spark, f"{folder}/kind={kind}")
-    cuts = spark.sparkContext.broadcast(splitters(texts, answers, bits, sampled, 4000, size, bucket_bytes))
+    looked = max(sampled, size // (16 * chunk_bytes))  # leads grow with the buckets, and chunks with the table, whose parts may differ
+    cuts = spark.sparkContext.broadcast(splitters(texts, answers, bits, looked, max(4000 * sampled, sampled * size >> 20) // looked, size, bucket_bytes))
     extract(texts, answers, bits, cuts, sent)
     scratch.drop(answers)
     messages = spark.read.schema(SENT).parquet(sent)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -192,3 +193,59 @@ def test_multikey_order(spark):
     for i in range(1, len(want)):
         same = next((k for k in range(13) if want[i][k] != want[i - 1][k]), 13)
         assert shared[i] == same
+
+
+def test_anchors_are_found_in_bounded_memory():
+    """Hashes of all positions of a chunk, and several copies of them, were held at once: over 30 bytes for each byte of text."""
+    rng, spread = np.random.default_rng(5), [0, 3, 49, 50, 51, 700, 3000]
+    lengths = np.array([spread[i] for i in rng.integers(0, len(spread), 900)])
+    ends = np.cumsum(lengths)
+    data = rng.integers(97, 100, int(ends[-1])).astype(np.uint8).tobytes() + bytes(64)
+    whole = substrings.anchors(data, ends - lengths, ends, block=len(data))
+    for block in (300, 4096):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, substrings.anchors(data, ends - lengths, ends, block=block), strict=True))
+    data = rng.integers(97, 110, 4 << 20).astype(np.uint8).tobytes() + bytes(64)
+    tracemalloc.start()
+    try:
+        substrings.anchors(data, np.array([0]), np.array([4 << 20]))
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_buckets_of_a_table_whose_parts_differ(spark, monkeypatch):
+    """Buckets were cut by a fixed number of chunks; texts unlike those all came into one bucket, which one task holds."""
+    rng, sizes = np.random.default_rng(11), {}
+    passages = {k: ["".join(rng.choice(list(letters), 80)) for _ in range(400)] for k, letters in (("low", "abcdefgh"), ("high", "stuvwxyz"))}
+    rows = [(i, " ".join(passages["low" if i < 400 else "high"][j] for j in rng.integers(0, 400, 5))) for i in range(800)]
+    sort_buckets = substrings.sort_buckets
+
+    def seen(sent):
+        for r in sent.select("part", "a").collect():
+            sizes[r.part] = sizes.get(r.part, 0) + len(substrings.loose(bytes(r.a), f"V{substrings.BACK + substrings.WIDTH + 2}"))
+        return sort_buckets(sent)
+
+    monkeypatch.setattr(substrings, "sort_buckets", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert removal(docs, chunk_bytes=4000, bucket_bytes=40_000, sampled=1) == plain_removal(rows)
+    assert max(sizes.values()) < 0.25 * sum(sizes.values())
+
+
+def test_large_buckets_are_judged_in_portions():
+    """A bucket was judged as a whole, however large: several hundred bytes for each suffix."""
+    rng = np.random.default_rng(2)
+    leads, width = rng.integers(97, 123, (60, substrings.GRAM)), substrings.BACK + substrings.WIDTH + 2
+    contexts = rng.integers(97, 99, (3000, width)).astype(np.uint8)
+    contexts[:, substrings.BACK : substrings.BACK + substrings.GRAM] = leads[np.minimum(rng.integers(0, 120, 3000), 59)]
+    contexts[:, : substrings.BACK - 3] = contexts[:, substrings.BACK + substrings.GRAM + 3 : -2] = 97
+    contexts[:, -2:] = [0, substrings.BACK]
+    docs = rng.integers(0, 500, 3000)
+    some = substrings.portions(contexts, 100)
+    assert sorted(np.concatenate(some).tolist()) == list(range(3000)) and len(some) > 10
+    counts = [Counter(bytes(c) for c in contexts[x, substrings.BACK : substrings.BACK + substrings.GRAM]) for x in some]
+    assert sum(map(len, counts)) == 60 and all(len(x) - max(c.values()) < 100 for x, c in zip(some, counts, strict=True))
+    bits = np.empty(3000, np.uint32)
+    for x in some:
+        bits[x] = substrings.judged(contexts[x], docs[x])
+    assert np.array_equal(bits, substrings.judged(contexts, docs)) and bits.any()
+    assert [len(x) for x in substrings.portions(contexts[:0])] == [0]
