@@ -5,8 +5,10 @@ Words are maximal runs of characters outside ``[\\x20\\x09-\\x0D]``, which is wh
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -43,6 +45,14 @@ def delete(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver see which shuffles no step needs any more; Spark deletes their files then, and else when the driver's heap is full.
+    Python's tables, which stand for those of the driver, go first; the driver hears of that a moment later."""
+    gc.collect()
+    time.sleep(1)
+    spark._jvm.System.gc()
+
+
 _scopes: list[list[str]] = []
 
 

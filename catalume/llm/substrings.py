@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.common import Scratch, delete, load, scramble, shared_folder, slices, task_count
+from catalume.llm.common import Scratch, delete, free_shuffles, load, scramble, shared_folder, slices, task_count
 from catalume.llm.tree_scoring import gaps, loose, squeezed, summed
 
 WIDTH = 50
@@ -535,11 +535,14 @@ def dedup_substrings(docs: DataFrame, hot: int = 20_000, chunk_bytes: int = 4 <<
         delete(spark, f"{folder}/kind={kind}")
     looked = max(sampled, size // (16 * chunk_bytes))  # leads grow with the buckets, and chunks with the table, whose parts may differ
     cuts = spark.sparkContext.broadcast(splitters(texts, answers, bits, looked, max(4000 * sampled, sampled * size >> 20) // looked, size, bucket_bytes))
+    free_shuffles(spark)
     extract(texts, answers, bits, cuts, sent)
     scratch.drop(answers)
+    free_shuffles(spark)
     messages = spark.read.schema(SENT).parquet(sent)
     bits_ = scratch.save(sort_buckets(messages.where(F.col("kind") == SUFFIXES).select("chunk", "part", "a", "b")), "bits")
     delete(spark, f"{sent}/kind={SUFFIXES}")
+    free_shuffles(spark)
     found = scratch.save(marked(texts, messages.where(F.col("kind") == STATE), bits_, chunk_bytes), "marked")
     delete(spark, folder)
     out = found.where("piece < 0").unionByName(joined(found.where("piece >= 0")))
